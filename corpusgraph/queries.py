@@ -1,0 +1,10 @@
+"""Registry of the engine's queries and their oracle SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark, sf_dir):
+    return QUERIES["search_hybrid"](spark, sf_dir)
