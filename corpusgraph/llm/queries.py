@@ -13,5 +13,18 @@ def op10_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {"op10_sharding": op10_sharding}
+def op7_decontamination(spark, sf_dir):
+    from corpusgraph.llm.decontaminate import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_simhash(spark, sf_dir):
+    from corpusgraph.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
+QUERIES = {"op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {}
