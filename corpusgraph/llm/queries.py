@@ -7,12 +7,30 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.common import table
 
 
+def op4_langid(spark, sf_dir):
+    from corpusgraph.llm.langid import held_out, identify
+
+    return identify(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_topk(spark, sf_dir):
+    from corpusgraph.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
+
+
 def op10_sharding(spark, sf_dir):
     from corpusgraph.llm.sharding import shard_by_bytes
 
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op5_pii(spark, sf_dir):
+    from corpusgraph.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_decontamination(spark, sf_dir):
     from corpusgraph.llm.decontaminate import decontaminate
 
@@ -26,5 +44,19 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op10_sharding": op10_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op4_langid": op4_langid, "op5_pii": op5_pii, "op9_topk": op9_topk, "op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op10_sharding": op10_sharding}
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+ORACLES: dict[str, str] = {"op9_topk": OP9_SQL}
