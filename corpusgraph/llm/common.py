@@ -62,12 +62,12 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a record batch into runs of at most BATCH_BYTES of text and BATCH_ROWS rows."""
+def slices(batch: pa.RecordBatch, text: str, batch_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a record batch into runs of at most batch_bytes of text and BATCH_ROWS rows."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and (held + size > BATCH_BYTES or i - start >= BATCH_ROWS):
+        if i > start and (held + size > batch_bytes or i - start >= BATCH_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
@@ -86,6 +86,7 @@ def map_text(
     text: str = "text",
     keep: list[str] | None = None,
     args: list[str] | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Append ``fields`` computed from each row's text.
 
@@ -105,7 +106,7 @@ def map_text(
     def run(batches):
         f = make()
         for whole in batches:
-            for b in slices(whole, "t"):
+            for b in slices(whole, "t", batch_bytes):
                 got = f(b.column("t"), *[b.column(f"a{i}") for i in range(n_args)])
                 made = [x if isinstance(x, pa.Array) else pa.array(x, ARROW[k]) for x, k in zip(got, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[b.column(f"k{i}") for i in range(n_kept)], *made], names=out_schema.names)

@@ -13,6 +13,12 @@ def op4_langid(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_pieces(spark, sf_dir):
+    from corpusgraph.llm.pieces import digest
+
+    return digest(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op9_topk(spark, sf_dir):
     from corpusgraph.llm.topk import top_k
 
@@ -44,7 +50,7 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
-QUERIES = {"op4_langid": op4_langid, "op5_pii": op5_pii, "op9_topk": op9_topk, "op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op4_langid": op4_langid, "op5_pii": op5_pii, "op8_pieces": op8_pieces, "op9_topk": op9_topk, "op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op10_sharding": op10_sharding}
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
