@@ -6,15 +6,60 @@ stage's result as Parquet in the shared folder and rereads it as the next stage'
 
 from __future__ import annotations
 
-STAGES: list = []
-#: Samples, trained weights and pieces aren't expressible in SQL; tests hold brute force against it.
+from pyspark.sql import functions as F
+
+from corpusgraph.llm import decontaminate, langid, neardup, pii, pieces
+from corpusgraph.llm.common import cut, table
+
+#: A text whose best language scores less is dropped.
+LEAST_SCORE = 0.3
+
+
+def language(spark, docs, sf_dir):
+    """Drops texts without letters and those no language fits; ``lang`` becomes the prediction."""
+    seen = langid.identify(docs)
+    return seen.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Keeps one document of each group of copies and near copies."""
+    return neardup.drop_near_copies(docs).select(*docs.columns)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Drops documents of which at least a twentieth are benchmark windows."""
+    marked = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return marked.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def personal_data(spark, docs, sf_dir):
+    """Replaces personal data by its kind and brings n_chars up to date."""
+    clean = pii.find(docs, redact=True).withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def tokens(spark, docs, sf_dir):
+    """Sampled piece ids of each text; decoding them gives the text back."""
+    kept = [c for c in docs.columns if c != "text"]
+    return pieces.encode(docs, keep=kept).withColumn("n_pieces", F.size("piece_ids"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("SentencePiece encoding", tokens),
+]
+#: Trained weights, transducers and sampled pieces aren't expressible in SQL; tests hold the
+#: pipeline against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from corpusgraph.llm.common import cut, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
