@@ -33,11 +33,11 @@ UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def ngram_rows(texts: list[str]) -> np.ndarray:
+def ngram_rows(texts: list[str], fold: bool = True) -> np.ndarray:
     """A row of square-rooted relative frequencies of hashed byte 2- and 3-grams a text."""
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
     for i, text in enumerate(texts):
-        b = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8).astype(np.uint32)
+        b = np.frombuffer(b" " + (text.lower() if fold else text).encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8).astype(np.uint32)
         two = b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA77)
         three = two[:-1] * np.uint32(0xC2B2AE3D) + b[2:] * np.uint32(0x27D4EB2F)
         for h in (two, three):
@@ -65,14 +65,15 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
-def train_bits(x: np.ndarray, targets: np.ndarray, sweeps: int = 60, rate: float = 40.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def train_bits(x: np.ndarray, targets: np.ndarray, sweeps: int = 60, rate: float = 40.0, decay: float = 1e-5, sample_weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regressions of all bits at once by accelerated full-batch descent."""
     w = np.zeros((x.shape[1] + 1, targets.shape[1]), dtype=np.float32)
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     ahead, step = w.copy(), 1.0
+    weight = np.ones((len(x), 1), dtype=np.float32) if sample_weights is None else sample_weights.astype(np.float32)[:, None]
     for _ in range(sweeps):
         margin = np.clip(targets * (x @ ahead), -30, 30)
-        grad = -(x.T @ (targets / (1 + np.exp(margin)))).astype(np.float32) / len(x) + decay * ahead
+        grad = -(x.T @ (weight * targets / (1 + np.exp(margin)))).astype(np.float32) / len(x) + decay * ahead
         new = ahead - rate / 4 * grad
         nxt = (1 + np.sqrt(1 + 4 * step * step)) / 2
         ahead, w, step = new + np.float32((step - 1) / nxt) * (new - w), new, nxt

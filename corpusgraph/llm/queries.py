@@ -7,6 +7,75 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.common import table
 
 
+def op1_licences(spark, sf_dir):
+    from corpusgraph.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op2_quality(spark, sf_dir):
+    from corpusgraph.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+# Fixed values of the example: dated list entries (list, action, pattern, date, listed).
+URL_LIST = """
+  ('adult', 'block', 'adult-x.example.net', '2024-01-01', true),
+  ('adult', 'block', 'adult-x.example.net', '2024-06-01', false),
+  ('adult', 'block', 'adult-x.example.net', '2024-09-15', true),
+  ('ads', 'block', 'ads-track.example.com', '2024-01-15', true),
+  ('ads', 'block', 'ads-track.example.com', '2024-02-15', false),
+  ('ads', 'block', 'ads-track.example.com', '2024-08-01', true),
+  ('gambling', 'block', 'casino-win.example.com', '2024-02-01', true),
+  ('gambling', 'block', 'free-bets.example.com', '2024-03-10', true),
+  ('gambling', 'block', 'free-bets.example.com', '2024-11-01', false),
+  ('pharma', 'block', 'cheap-pills.example.com', '2024-04-01', true),
+  ('spam', 'block', 'spam-farm.example.com', '2023-05-01', true),
+  ('trusted', 'allow', 'blog.adult-x.example.net', '2024-10-01', true),
+  ('regional', 'block', 'example.org/fr', '2024-05-01', true),
+  ('regional', 'block', 'example.org/fr', '2024-05-31', false),
+  ('partners', 'allow', 'ththan.example.org', '2024-05-10', true)
+"""
+
+
+def op3_urlfilter(spark, sf_dir):
+    from corpusgraph.llm.urlfilter import judge
+
+    entries = spark.sql(f"SELECT list, action, pattern, to_timestamp(dated) AS dated, listed FROM VALUES {URL_LIST} AS e(list, action, pattern, dated, listed)")
+    # The table has no fetch times; a rule spreads the captures over the year.
+    day = F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).cast("timestamp").alias("fetched"))
+    return judge(captures, entries).select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "n_active", "deciding_list", "deciding_pattern", "blocked")
+
+
+OP3_SQL = f"""
+WITH e(list, action, pattern, dated, listed) AS (VALUES {URL_LIST}),
+iv AS (
+  SELECT *, split_part(pattern, '/', 1) AS domain,
+         CASE WHEN contains(pattern, '/') THEN substr(pattern, instr(pattern, '/')) ELSE '' END AS path,
+         CAST(dated AS DATE) AS valid_from,
+         coalesce(lead(CAST(dated AS DATE)) OVER (PARTITION BY list, action, pattern ORDER BY dated), DATE '9999-12-31') AS valid_until
+  FROM e
+), p AS (
+  SELECT row_number() OVER () AS r, page_id,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)) AS path,
+         DATE '2024-01-01' + CAST(((page_id * 7919) % 366 + 366) % 366 AS INTEGER) AS t
+  FROM pages
+), j AS (
+  SELECT p.r, iv.list, iv.pattern, iv.action,
+         row_number() OVER (PARTITION BY p.r ORDER BY length(iv.pattern) DESC, iv.action = 'block' DESC, iv.list, iv.pattern) AS k,
+         count(*) OVER (PARTITION BY p.r) AS n
+  FROM p JOIN iv ON iv.listed AND (p.host = iv.domain OR ends_with(p.host, '.' || iv.domain))
+   AND iv.valid_from <= p.t AND p.t < iv.valid_until AND starts_with(p.path, iv.path)
+)
+SELECT p.page_id, p.host, strftime(p.t, '%Y-%m-%d') AS fetched, coalesce(j.n, 0) AS n_active,
+       j.list AS deciding_list, j.pattern AS deciding_pattern, coalesce(j.action = 'block', false) AS blocked
+FROM p LEFT JOIN j ON p.r = j.r AND j.k = 1
+"""
+
+
 def op4_langid(spark, sf_dir):
     from corpusgraph.llm.langid import held_out, identify
 
@@ -50,7 +119,7 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
-QUERIES = {"op4_langid": op4_langid, "op5_pii": op5_pii, "op8_pieces": op8_pieces, "op9_topk": op9_topk, "op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op10_sharding": op10_sharding}
+QUERIES = {"op1_licences": op1_licences, "op2_quality": op2_quality, "op3_urlfilter": op3_urlfilter, "op4_langid": op4_langid, "op5_pii": op5_pii, "op8_pieces": op8_pieces, "op9_topk": op9_topk, "op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op10_sharding": op10_sharding}
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -65,4 +134,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
 """
-ORACLES: dict[str, str] = {"op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op9_topk": OP9_SQL}
