@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corpusgraph.queries.registry import ORACLES, QUERIES
+from corpusgraph.queries import aggregates, derived, graphs, retrieval, scans  # noqa: F401  they register themselves
 
 
 def flagship(spark, sf_dir):
