@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +36,25 @@ def lengths(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
 
 
 def phrase_hits(df: DataFrame, id_col: str, text_cols: list[str], phrases: list[list[str]]) -> DataFrame:
-    """(id, phrase, tf): how often each phrase occurs within one field.
+    """(id, n_tokens, tf): how often each phrase occurs within a field, summed over fields.
 
     The phrases are a driver-side list of at most a few dozen, so each row counts its own
     hits in its token arrays and nothing is exploded before the counts are known.
     """
 
     def hits(ts, phrase):
-        n = len(phrase)
-        here = lambda i: F.slice(ts, i, n) == F.array(*[F.lit(t) for t in phrase])
-        starts = F.when(F.size(ts) >= n, F.sequence(F.lit(1), F.size(ts) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.size(F.filter(starts, here)) if n > 1 else F.size(F.filter(ts, lambda t: t == phrase[0]))
+        if len(phrase) == 1:
+            return F.size(F.filter(ts, lambda t: t == phrase[0]))
+        starts = F.when(F.size(ts) >= len(phrase), F.sequence(F.lit(0), F.size(ts) - len(phrase))).otherwise(F.array().cast("array<int>"))
+        here = lambda i: reduce(and_, [F.get(ts, i + j) == t for j, t in enumerate(phrase)])
+        return F.size(F.filter(starts, here))
 
-    per_row = F.array(*[F.struct(F.lit(k).alias("phrase"), sum((hits(F.col(f"t{j}"), p) for j in range(len(text_cols))), F.lit(0)).alias("tf")) for k, p in enumerate(phrases)])
-    tokenised = df.select(F.col(id_col).alias("id"), *[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"t{j}") for j, c in enumerate(text_cols)])
-    length = sum((F.size(f"t{j}") for j in range(len(text_cols))), F.lit(0))
-    return tokenised.select("id", length.alias("n_tokens"), per_row.alias("hits"))
+    # The tokens of a field are a lambda's variable, so they are made once and not for each use.
+    fields = F.transform(F.array(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in text_cols]), lambda ts: F.struct(F.size(ts).alias("n"), F.array(*[hits(ts, p) for p in phrases]).alias("tf")))
+    per_field = df.select(F.col(id_col).alias("id"), fields.alias("fields"))
+    total = F.aggregate("fields", F.lit(0), lambda s, f: s + f["n"])
+    tf = F.transform(F.sequence(F.lit(0), F.lit(len(phrases) - 1)), lambda k: F.aggregate("fields", F.lit(0), lambda s, f: s + F.get(f["tf"], k)))
+    return per_field.select("id", total.alias("n_tokens"), tf.alias("tf"))
 
 
 def bm25(df: DataFrame, id_col: str, text_cols: list[str], phrases: list[list[str]], limit: int | None = None) -> DataFrame:
@@ -58,11 +63,11 @@ def bm25(df: DataFrame, id_col: str, text_cols: list[str], phrases: list[list[st
     One pass: corpus statistics are a one-row aggregate of the same scan, joined back.
     """
     rows = phrase_hits(df, id_col, text_cols, phrases)
-    stats = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("n_tokens").alias("avg_len"), *[F.sum((F.element_at("hits", k + 1)["tf"] > 0).cast("long")).alias(f"df{k}") for k in range(len(phrases))])
-    with_stats = rows.filter(F.exists("hits", lambda h: h["tf"] > 0)).join(F.broadcast(stats))
+    stats = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("n_tokens").alias("avg_len"), *[F.sum((F.col("tf")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(phrases))])
+    with_stats = rows.filter(F.exists("tf", lambda n: n > 0)).join(F.broadcast(stats))
     score = F.lit(0.0)
     for k in range(len(phrases)):
-        tf, n = F.element_at("hits", k + 1)["tf"].cast("double"), F.col(f"df{k}")
+        tf, n = F.col("tf")[k].cast("double"), F.col(f"df{k}")
         raw = F.log((F.col("n_rows") - n + 0.5) / (n + 0.5))
         idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))

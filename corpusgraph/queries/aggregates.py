@@ -48,9 +48,9 @@ def set_intersect(spark, d):
     return o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("custkey")).intersect(o.filter("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("set_except", "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_except", "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 30000")
 def set_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).subtract(table(spark, d, "orders").filter("o_orderstatus = 'F' and o_totalprice > 30000").select("o_custkey"))
 
 
 @query("rollup_revenue", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

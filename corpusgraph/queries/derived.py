@@ -55,9 +55,9 @@ def edge_tested_by(spark, d):
 
 IMPORTS_SQL = """
 WITH links AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"/]+)"', 1)) AS c FROM pages),
-files AS (SELECT 'p/' || page_id || '/' || lower(regexp_extract(html, 'href="/([^"/]+)"', 1)) AS path FROM pages),
+files AS (SELECT 'p/' || page_id || '/' || regexp_extract(html, 'href="/([^"/]+)"', 1) AS path FROM pages WHERE page_id % 5 = 0),
 tails AS (SELECT path, regexp_replace(path, '^p/[0-9]+/', '') AS c FROM files),
-found AS (SELECT 'p/' || l.page_id AS src, l.c, count(DISTINCT t.path) AS n, min(t.path) AS dst FROM links l JOIN tails t ON l.c = t.c GROUP BY 1, 2)
+found AS (SELECT 'p/' || l.page_id AS src, l.c, count(DISTINCT t.path) AS n, min(t.path) AS dst FROM links l JOIN tails t ON l.c = t.c AND NOT starts_with(t.path, 'p/' || l.page_id || '/') GROUP BY 1, 2)
 SELECT DISTINCT src, dst, 'imports' AS kind, CAST(0.6 AS DOUBLE) AS weight FROM found WHERE n = 1"""
 
 
@@ -65,17 +65,21 @@ SELECT DISTINCT src, dst, 'imports' AS kind, CAST(0.6 AS DOUBLE) AS weight FROM
 def edge_imports_unique(spark, d):
     # A page imports what its links name; the first link's name ends the page's own path.
     links = F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), 1)
-    pages = table(spark, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id")).alias("src_path"), F.array_distinct(links).alias("links"), F.lower(F.element_at(links, 1)).alias("own"))
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id")).alias("src_path"), F.array_distinct(links).alias("links"), F.element_at(links, 1).alias("own"), "page_id")
     statements = pages.select("src_path", F.explode("links").alias("c")).select("src_path", F.col("c").alias("statement_id"), F.lit(True).alias("by_suffix"), F.array("c").alias("candidates"))
-    files = pages.select(F.concat("src_path", F.lit("/"), "own").alias("path"))
-    return edges.imports(statements, files)
+    # A page is its own file's source under the file's name, so that it never imports itself.
+    named = F.concat("src_path", F.lit("/"), "own")
+    pages = pages.withColumn("as_file", F.when(F.col("page_id") % 5 == 0, named).otherwise(F.col("src_path")))
+    statements = statements.join(pages.select("src_path", "as_file"), "src_path").select(F.col("as_file").alias("src_path"), "statement_id", "by_suffix", "candidates")
+    files = pages.filter("page_id % 5 = 0").select(F.concat("src_path", F.lit("/"), "own").alias("path"))
+    return edges.imports(statements, files).withColumn("src", F.regexp_extract("src", "^p/[0-9]+", 0))
 
 
 SPANS_SQL = """
 WITH o AS (SELECT user_id, event_id, ts, lag(ts, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
-spans AS (SELECT user_id, event_id AS span_id, epoch_us(s) AS start, epoch_us(ts) AS "end" FROM o WHERE s IS NOT NULL AND event_id % 3 = 0),
-points AS (SELECT DISTINCT user_id, epoch_us(ts) AS at FROM events WHERE event_id % 5 = 0),
-j AS (SELECT p.user_id, p.at, s.span_id, s."end" - s.start AS width FROM points p JOIN spans s ON p.user_id = s.user_id AND s.start <= p.at AND p.at <= s."end")"""
+spans AS (SELECT user_id, event_id AS span_id, epoch_us(s) AS "start", epoch_us(ts) AS "end" FROM o WHERE s IS NOT NULL AND event_id % 3 = 0),
+points AS (SELECT DISTINCT user_id, epoch_us(ts) AS "at" FROM events WHERE event_id % 5 = 0),
+j AS (SELECT p.user_id, p."at", s.span_id, s."end" - s."start" AS width FROM points p JOIN spans s ON p.user_id = s.user_id AND s."start" <= p."at" AND p."at" <= s."end")"""
 
 
 def spans_and_points(spark, d):
@@ -85,13 +89,13 @@ def spans_and_points(spark, d):
     return spans, ev.filter("event_id % 5 = 0").select("user_id", F.col("us").alias("at")).distinct()
 
 
-@query("interval_join_narrowest", SPANS_SQL + " SELECT user_id, at, arg_min(span_id, (width, span_id)) AS span_id, min(width) AS width FROM j GROUP BY user_id, at")
+@query("interval_join_narrowest", SPANS_SQL + ''' SELECT user_id, "at", arg_min(span_id, {'w': width, 's': span_id}) AS span_id, min(width) AS width FROM j GROUP BY user_id, "at"''')
 def interval_join_narrowest(spark, d):
     spans, points = spans_and_points(spark, d)
     return edges.narrowest_cover(points, spans, "user_id")
 
 
-@query("join_range", SPANS_SQL + " SELECT user_id, at, count(*) AS n FROM j GROUP BY user_id, at")
+@query("join_range", SPANS_SQL + ''' SELECT user_id, "at", count(*) AS n FROM j GROUP BY user_id, "at"''')
 def join_range(spark, d):
     spans, points = spans_and_points(spark, d)
     return points.join(spans, "user_id").filter("start <= at and at <= end").groupBy("user_id", "at").agg(F.count(F.lit(1)).alias("n"))

@@ -16,9 +16,9 @@ def lookup_pk(spark, d):
     return table(spark, d, "documents").filter("doc_id = 7").select("doc_id", "lang", "source", "n_chars")
 
 
-@query("filter_conjunctive", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size = 10 AND p_retailprice > 1000 ORDER BY p_partkey LIMIT 50")
+@query("filter_conjunctive", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size = 10 AND p_retailprice > 950 ORDER BY p_partkey LIMIT 50")
 def filter_conjunctive(spark, d):
-    return table(spark, d, "part").filter((F.col("p_size") == 10) & (F.col("p_retailprice") > 1000)).select("p_partkey", "p_brand", "p_size", "p_retailprice").orderBy("p_partkey").limit(50)
+    return table(spark, d, "part").filter((F.col("p_size") == 10) & (F.col("p_retailprice") > 950)).select("p_partkey", "p_brand", "p_size", "p_retailprice").orderBy("p_partkey").limit(50)
 
 
 @query("isin_filter", "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'system')")
