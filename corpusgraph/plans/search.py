@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.operators.graph import spread
@@ -28,5 +28,5 @@ def hybrid(seeds: list[DataFrame], edges: DataFrame, nodes: DataFrame, as_of, *,
     structural = ranks(reached).select(F.lit("structural").alias("source"), "id", "rank")
     total = fuse(ranked.select("source", "id", "rank").unionByName(structural))
     joined = total.join(nodes.select("id", "updated_at", "pinned", "state"), "id")
-    score = multiplied(recency(F.col("score"), F.col("updated_at"), F.lit(as_of).cast("timestamp")), F.col("pinned"), F.col("state"))
+    score = multiplied(recency(F.col("score"), F.col("updated_at"), (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp")), F.col("pinned"), F.col("state"))
     return joined.select("id", score.alias("score"), "via").orderBy(F.desc("score"), "id")

@@ -55,7 +55,7 @@ def edge_tested_by(spark, d):
 
 IMPORTS_SQL = """
 WITH links AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"/]+)"', 1)) AS c FROM pages),
-files AS (SELECT 'p/' || page_id || '/' || regexp_extract(html, 'href="/([^"/]+)"', 1) AS path FROM pages WHERE page_id % 5 = 0),
+files AS (SELECT 'p/' || page_id || '/' || regexp_extract(html, 'href="/([^"/]+)"', 1) AS path FROM pages WHERE page_id % 7 = 0),
 tails AS (SELECT path, regexp_replace(path, '^p/[0-9]+/', '') AS c FROM files),
 found AS (SELECT 'p/' || l.page_id AS src, l.c, count(DISTINCT t.path) AS n, min(t.path) AS dst FROM links l JOIN tails t ON l.c = t.c AND NOT starts_with(t.path, 'p/' || l.page_id || '/') GROUP BY 1, 2)
 SELECT DISTINCT src, dst, 'imports' AS kind, CAST(0.6 AS DOUBLE) AS weight FROM found WHERE n = 1"""
@@ -69,9 +69,9 @@ def edge_imports_unique(spark, d):
     statements = pages.select("src_path", F.explode("links").alias("c")).select("src_path", F.col("c").alias("statement_id"), F.lit(True).alias("by_suffix"), F.array("c").alias("candidates"))
     # A page is its own file's source under the file's name, so that it never imports itself.
     named = F.concat("src_path", F.lit("/"), "own")
-    pages = pages.withColumn("as_file", F.when(F.col("page_id") % 5 == 0, named).otherwise(F.col("src_path")))
+    pages = pages.withColumn("as_file", F.when(F.col("page_id") % 7 == 0, named).otherwise(F.col("src_path")))
     statements = statements.join(pages.select("src_path", "as_file"), "src_path").select(F.col("as_file").alias("src_path"), "statement_id", "by_suffix", "candidates")
-    files = pages.filter("page_id % 5 = 0").select(F.concat("src_path", F.lit("/"), "own").alias("path"))
+    files = pages.filter("page_id % 7 = 0").select(F.concat("src_path", F.lit("/"), "own").alias("path"))
     return edges.imports(statements, files).withColumn("src", F.regexp_extract("src", "^p/[0-9]+", 0))
 
 
