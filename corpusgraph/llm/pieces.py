@@ -33,6 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_WEIGHT = -12.0
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 17
+#: Bytes of text encoded together; a batch takes about a hundred times that in memory.
+BATCH = 3 << 19
 
 
 class Vocabulary:
@@ -286,17 +288,6 @@ class Encoder:
             node, seed, stop, left = lattice.start[e[on]], seed[on], stop[on], left[on]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(key: str, v: Vocabulary) -> Encoder:
-    """This process's encoder for a vocabulary; worker processes serve many tasks."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(v)
-    return _ENCODERS[key]
-
-
 def encode_batch(texts: list[bytes], seeds: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
     return Encoder(v)(texts, seeds)
 
@@ -324,12 +315,11 @@ def digest(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int
 
 def _run(docs, fields, made, model, theta, seed, keep, id_col, text_col) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(load(model, theta))
-    key = f"{model} {theta}"
     keyed = docs.withColumn("__seed", F.xxhash64(col(id_col), F.lit(seed)))
 
     def make():
         v = held.value
-        run = encoder(key, v)
+        run = Encoder(v)  # one a task, so that nothing stays behind in a reused worker
 
         def f(texts, seeds):
             rows = [None if s is None else s.encode("utf-8", "surrogatepass") for s in texts.to_pylist()]
@@ -339,7 +329,7 @@ def _run(docs, fields, made, model, theta, seed, keep, id_col, text_col) -> Data
         return f
 
     kept = list(docs.columns) if keep is None else keep
-    return map_text(keyed, make, fields, text=text_col, keep=kept, args=["__seed"], batch_bytes=4 << 20)
+    return map_text(keyed, make, fields, text=text_col, keep=kept, args=["__seed"], batch_bytes=BATCH)
 
 
 def decode(tokens: DataFrame, *, model: str = MODEL, keep: list[str] | None = None, ids_col: str = "piece_ids") -> DataFrame:
