@@ -5,7 +5,8 @@ in the text as it stands. Transducers then rewrite disguises into a normalised t
 Greek and full-width look-alikes become ASCII, runs of spelled digits become digits, and at/dot
 disguises become ``@`` and ``.``. Each rewrite is an edge from a source range to its output, so
 the normalised text comes with a map of its pieces; spans found there are carried back to source
-code points. Spans that touch no rewrite, or overlap a base span of their kind, add nothing.
+code points. Spans that touch no rewrite, or lie within a base span of their kind, add nothing;
+a disguised span that reaches beyond a base span is added beside it.
 
 Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't overlap;
 matches that fail a check (IP part above 255, Luhn, number of digits) are dropped.
@@ -161,7 +162,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
             continue
         start = src[i] if new[i] else src[i] + a - at[i]
         stop = end[j] if new[j] else src[j] + b - at[j]
-        if not any(x < stop and start < y for x, y in taken[kind]):
+        if not any(x <= start and stop <= y for x, y in taken[kind]):
             out.append((kind, start, stop))
     return out
 
