@@ -83,9 +83,13 @@ def _differing(prefix_a: str, prefix_b: str):
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that pass the chain join and the Hamming check."""
-    prints = cut(_chains(texts), "neardup-prints")
+    """Distinct pairs (a, b) of nodes that pass the chain join and the Hamming check.
+
+    ``texts`` may repeat a node; prints are made where the texts are, so only the prints of
+    copies meet, not the texts.
+    """
     ws = [f"w{i}" for i in range(4)]
+    prints = cut(_chains(texts).groupBy("node").agg(F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in ws]), "neardup-prints")
     spread = prints.select("node", *ws, F.explode("keys").alias("key"), F.col("keys").alias("_all"))
     opposite = F.element_at("_all", (((F.shiftrightunsigned("key", 24) + 16) % SEGMENTS) + 1).cast("int"))
     spread = spread.select("node", *ws, "key", opposite.alias("far"))
@@ -104,10 +108,15 @@ def candidates(texts: DataFrame) -> DataFrame:
     return cut(near.union(tied).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar enough; only texts of candidate pairs are moved."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = cut(texts.join(wanted, "node", "left_semi").select("node", "text"), "neardup-texts")
+def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, repeats: bool) -> DataFrame:
+    """The pairs whose texts are similar enough; only texts of candidate pairs are moved on.
+
+    ``firsts`` has one row id ``i`` for each node of ``texts`` (i, node, text); ``repeats`` tells
+    whether rows of the same id and text occur.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts.select("node", "i"), "node").select(F.col("node").alias("fn"), F.col("i").alias("fi"))
+    some = texts.join(wanted, (F.col("node") == F.col("fn")) & F.col("i").eqNullSafe(F.col("fi")), "left_semi").select("node", "text")
+    some = cut(some.dropDuplicates(["node"]) if repeats else some, "neardup-texts")
     both = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("t2")), "b")
 
     def make():
@@ -121,18 +130,17 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     node = F.xxhash64(col(text_col))
     keyed = docs.select(col(id_col).alias("i"), node.alias("node"))
     firsts = cut(keyed.groupBy("node").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n")), "neardup-firsts")
-    # One row of each text: equal texts give equal prints, and pairs are between different texts.
-    one = docs.select(col(id_col).alias("i"), node.alias("node"), col(text_col).alias("text"))
-    one = one.join(firsts.select(F.col("i").alias("fi"), F.col("node").alias("fn")), (F.col("node") == F.col("fn")) & F.col("i").eqNullSafe(F.col("fi")), "left_semi").select("node", "text")
-    roots = components(verified(candidates(one), one).distinct())
+    repeated = cut(keyed.groupBy("i", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("i").alias("__i"), F.col("node").alias("__node")), "neardup-repeated")
+    repeats = not repeated.isEmpty()
+    texts = docs.select(col(id_col).alias("i"), node.alias("node"), col(text_col).alias("text"))
+    roots = components(verified(candidates(texts), texts, firsts, repeats).distinct())
     grouped = firsts.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("node", "i", F.coalesce("root", "node").alias("root"))
     # The least doc_id of a group stays; where all are null, the least text key decides.
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "node")).alias("m"))
     stay = cut(best.select(F.col("m.i").alias("__i"), F.col("m.node").alias("__node")), "neardup-stay")
     marked = docs.withColumn("__key", node)
     kept = marked.join(stay, (F.col("__key") == F.col("__node")) & col(id_col).eqNullSafe(F.col("__i")), "left_semi")
-    repeated = cut(keyed.groupBy("i", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("i").alias("__i"), F.col("node").alias("__node")), "neardup-repeated")
-    if repeated.isEmpty():
+    if not repeats:
         return kept.drop("__key")
     same = (F.col("__key") == F.col("__node")) & col(id_col).eqNullSafe(F.col("__i"))
     single = kept.join(repeated, same, "left_anti")
