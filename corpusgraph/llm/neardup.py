@@ -1,19 +1,23 @@
-"""Near-copy removal for the pipeline: SimHash candidates, exact shingle check, one text kept.
-
-Texts at a similarity of 0.8 (Jaccard of five-word shingles) differ in far more than two bits
-of a 64-bit fingerprint of their shingles, so the pipeline's fingerprint is wider and coarser:
-256 majority bits over a text's distinct words, in a ring of 32 segments of 8 bits. Of two
-texts that differ in d bits, some chain of three consecutive segments differs in at most
-floor(3 d / 32) bits (pigeonring); up to d = 10 a chain agrees exactly, and most pairs up to
-three times that far have such a chain too. Chains are the keys of an equi-join; the full
-Hamming check (at most ``HAMMING`` of 256) prunes what it brings, and an exact comparison of
-the five-word shingles decides.
-
-A bucket of more than ``BUCKET`` distinct texts isn't joined with itself: each member is
-compared with the least member of the bucket and with the least of those that share the
-opposite chain as well, two pairs for each member and chain however large the bucket. Large
-groups of near copies meet in many of their 32 chains, so their members are tied to several
-others; a tie is made only by the exact comparison.
+"""Near-copy removal for the pipeline: exact set-similarity join, one text kept of a group.
+
+Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is at
+least 0.8. Links are found by prefix filtering, which loses none: of two such texts of n and m
+shingles, each shares at least ceil(0.8 n) and ceil(0.8 m) of them with the other, so in any
+common order of all shingles the first n - ceil(0.8 n) + l of the one and m - ceil(0.8 m) + l
+of the other have l in common.
+
+1. ``partnered``: in the order of their hashes, each distinct text shows its first shingles,
+   with l a tenth of its set. A text of which fewer than the share that any partner must have
+   in common occur in some other text's first ones has no near copy and goes.
+2. ``prefixes``: the texts left show their first shingles (l = 1) in the order of how many of
+   these texts have them, so that passages that very many texts have come last.
+3. ``links``: texts that show the same shingle form a bucket. Only the groups matter, not all
+   links: first each member is compared with the bucket's most central one, and while crowded
+   buckets (more than ``BUCKET`` members) of several groups are left, at most ``ROUNDS`` times,
+   with another one. In the end every two members of a bucket that aren't in one group yet are
+   compared, however many; so rounds spare comparisons and never replace them.
+
+Comparisons are exact: sizes of intersections of whole shingle sets.
 
 Defined cases: equal texts are copies, null texts of each other too; of a group the row with
 the least doc_id stays (a null doc_id only where there is no other); of repeated rows one
@@ -23,106 +27,126 @@ words; an empty table stays empty; all columns pass through.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.common import col, components, cut, map_text
 from corpusgraph.llm.simhash import shingle_hashes
 
 SHINGLE = 5
-SIMILARITY = 0.8
-HAMMING = 40
 BUCKET = 48
-SEGMENTS = 32
+ROUNDS = 3
+#: Similarity 0.8 as a ratio of integers, so that no bound is rounded.
+ABOVE, BELOW = 4, 5
 
 
-def word_bits(text: str | None) -> np.ndarray:
-    """256 majority bits over the text's distinct words, as 32 bytes."""
-    import xxhash
+def least_common(n: int) -> int:
+    """How many of its n shingles a text shares with any near copy, at least."""
+    return -(-ABOVE * n // BELOW)
 
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not words:
-        return np.zeros(SEGMENTS, dtype=np.uint8)
-    h = xxhash.xxh3_128_digest
-    rows = np.frombuffer(b"".join([h(w, 1) + h(w, 2) for w in words]), dtype=np.uint8).reshape(-1, SEGMENTS)
-    return np.packbits(np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int32) * 2 > len(words))
 
+def first_shown(n: int) -> int:
+    """Number of shingles that :func:`partnered` looks at."""
+    return n - least_common(n) + max(1, n // 10)
 
-def similarity(a: str | None, b: str | None) -> float:
-    x, y = set(shingle_hashes(a, SHINGLE)), set(shingle_hashes(b, SHINGLE))
-    return len(x & y) / len(x | y) if x or y else 1.0
 
+def first_common(n: int) -> int:
+    """How many of them a near copy, of least_common(n) shingles at least, shows too."""
+    return max(1, least_common(n) // 10)
 
-def _chains(texts: DataFrame) -> DataFrame:
-    """node, its four fingerprint words and its 32 chain keys of three segments each."""
+
+def shingle_set(text: str | None) -> list[int]:
+    """Signed hashes of the text's distinct shingles in order; texts without words share one."""
+    return sorted({h - (1 << 64) if h >> 63 else h for h in shingle_hashes(text, SHINGLE)}) or [0]
+
+
+def partnered(texts: DataFrame) -> DataFrame:
+    """``node`` of each text that may have a near copy; ``texts`` may repeat a node."""
 
     def make():
         def f(texts):
-            rows = texts.to_pylist()
-            bits = np.array([word_bits(s) for s in rows], dtype=np.uint8).reshape(len(rows), SEGMENTS)
-            ring = np.hstack([bits, bits[:, :2]]).astype(np.int64)
-            keys = (np.arange(SEGMENTS) << 24) | (ring[:, :-2] << 16) | (ring[:, 1:-1] << 8) | ring[:, 2:]
-            words = bits.view(">i8").astype(np.int64)
-            return [keys.tolist(), *(words[:, i].copy() for i in range(4))]
+            sets = [shingle_set(s) for s in texts.to_pylist()]
+            return [[s[: first_shown(len(s))] for s in sets], [first_common(len(s)) for s in sets]]
 
-        def g(texts):
-            keys, *words = f(texts)
-            return [keys, *(w.tolist() for w in words)]
+        return f
 
-        return g
+    shown = map_text(texts, make, [("hs", "array<long>"), ("need", "int")], text="text", keep=["node"])
+    shown = cut(shown.groupBy("node").agg(F.first("hs").alias("hs"), F.first("need").alias("need")), "neardup-shown")
+    one = shown.select("node", "need", F.explode("hs").alias("h"))
+    shared = one.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    enough = one.join(shared, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
+    return cut(enough.select("node"), "neardup-partnered")
 
-    return map_text(texts, make, [("keys", "array<long>"), *((f"w{i}", "long") for i in range(4))], text="text", keep=["node"])
 
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(node, n, central, h, at): shingles that each set shows, at their places in the order.
 
-def _differing(prefix_a: str, prefix_b: str):
-    out = F.lit(0)
-    for i in range(4):
-        out = out + F.bit_count(F.col(f"{prefix_a}{i}").bitwiseXOR(F.col(f"{prefix_b}{i}")))
-    return out
+    ``central`` is the mean number of sets that have a shingle of this one.
+    """
+    one = sets.select("node", "n", F.explode("hs").alias("h"))
+    df = one.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    seen = one.join(df, "h")
+    of = Window.partitionBy("node")
+    # Shingles of one set only come first in the order and needn't be shown.
+    alone = F.col("n") - F.count(F.lit(1)).over(of)
+    ranked = seen.withColumn("at", alone + F.row_number().over(of.orderBy("df", "h")) - 1).withColumn("central", F.sum("df").over(of) / F.col("n"))
+    shown = F.col("n") - F.ceil(F.col("n") * ABOVE / BELOW).cast("int") + 1
+    return cut(ranked.filter(F.col("at") < shown).select("node", "n", "central", "h", "at"), "neardup-prefixes")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that pass the chain join and the Hamming check.
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which the whole shingle sets are similar enough."""
+    x, y = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("hs").alias(f"hs_{k}")) for k in "ab")
+    common = F.size(F.array_intersect("hs_a", "hs_b"))
+    return pairs.join(x, "a").join(y, "b").filter(common * (ABOVE + BELOW) >= ABOVE * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _sizes_fit(n, m):
+    return (n * BELOW >= m * ABOVE) & (m * BELOW >= n * ABOVE)
 
-    ``texts`` may repeat a node; prints are made where the texts are, so only the prints of
-    copies meet, not the texts.
-    """
-    ws = [f"w{i}" for i in range(4)]
-    prints = cut(_chains(texts).groupBy("node").agg(F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in ws]), "neardup-prints")
-    spread = prints.select("node", *ws, F.explode("keys").alias("key"), F.col("keys").alias("_all"))
-    opposite = F.element_at("_all", (((F.shiftrightunsigned("key", 24) + 16) % SEGMENTS) + 1).cast("int"))
-    spread = spread.select("node", *ws, "key", opposite.alias("far"))
-    counts = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter(F.col("n") > 1)
-    sized = spread.join(counts, "key")
-    few = cut(sized.filter(F.col("n") <= BUCKET).select("node", *ws, "key"), "neardup-few")
-    left = few.select("key", F.col("node").alias("a"), *[F.col(w).alias(f"x{i}") for i, w in enumerate(ws)])
-    right = few.select("key", F.col("node").alias("b"), *[F.col(w).alias(f"y{i}") for i, w in enumerate(ws)])
-    near = left.join(right, "key").filter((F.col("a") < F.col("b")) & (_differing("x", "y") <= HAMMING)).select("a", "b")
-    many = cut(sized.filter(F.col("n") > BUCKET).select("node", "key", "far", "least"), "neardup-many")
-    stars = many.select(F.col("least").alias("a"), F.col("node").alias("b"))
-    twice = many.groupBy("key", "far").agg(F.min("node").alias("a")).join(many, ["key", "far"]).select("a", F.col("node").alias("b"))
-    tied = stars.union(twice).filter(F.col("a") != F.col("b")).distinct()
-    x, y = prints.select(F.col("node").alias("a"), *[F.col(w).alias(f"x{i}") for i, w in enumerate(ws)]), prints.select(F.col("node").alias("b"), *[F.col(w).alias(f"y{i}") for i, w in enumerate(ws)])
-    tied = tied.join(x, "a").join(y, "b").filter(_differing("x", "y") <= HAMMING).select("a", "b")
-    return cut(near.union(tied).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, repeats: bool) -> DataFrame:
-    """The pairs whose texts are similar enough; only texts of candidate pairs are moved on.
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(texts: DataFrame, firsts: DataFrame, repeats: bool) -> DataFrame:
+    """(node, root) of each node that has a near copy.
 
     ``firsts`` has one row id ``i`` for each node of ``texts`` (i, node, text); ``repeats`` tells
     whether rows of the same id and text occur.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts.select("node", "i"), "node").select(F.col("node").alias("fn"), F.col("i").alias("fi"))
+    wanted = partnered(texts).join(firsts.select("node", "i"), "node").select(F.col("node").alias("fn"), F.col("i").alias("fi"))
     some = texts.join(wanted, (F.col("node") == F.col("fn")) & F.col("i").eqNullSafe(F.col("fi")), "left_semi").select("node", "text")
-    some = cut(some.dropDuplicates(["node"]) if repeats else some, "neardup-texts")
-    both = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("t2")), "b")
-
-    def make():
-        return lambda s, t: [[similarity(x, y) >= SIMILARITY for x, y in zip(s.to_pylist(), t.to_pylist(), strict=True)]]
-
-    return map_text(both, make, [("similar", "boolean")], text="s", keep=["a", "b"], args=["t2"]).filter("similar").select("a", "b")
+    some = some.dropDuplicates(["node"]) if repeats else some
+    sets = map_text(some, lambda: lambda texts: [[shingle_set(s) for s in texts.to_pylist()]], [("hs", "array<long>")], text="text", keep=["node"])
+    sets = cut(sets.withColumn("n", F.size("hs")), "neardup-sets")
+    shown = prefixes(sets)
+
+    found = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    roots, mixed = None, shown.withColumn("root", F.col("node"))
+    for k in range(ROUNDS + 1):
+        # The first round meets all buckets, later ones those that are still crowded and mixed.
+        order = F.col("central") if k == 0 else F.xxhash64("root", F.lit(k))
+        best = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct(order.alias("o"), "node", "n", "root")).alias("best"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        best = best.filter((F.col("lo") != F.col("hi")) & (F.col("size") > (1 if k == 0 else BUCKET))).select("h", F.col("best.node").alias("b"), F.col("best.n").alias("m"), F.col("best.root").alias("r"))
+        met = mixed.join(best, "h").filter((F.col("root") != F.col("r")) & _sizes_fit(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b")
+        pairs = cut(_ordered(met), "neardup-pairs")
+        if pairs.isEmpty():
+            break
+        found = cut(found.union(similar(pairs, sets)), "neardup-links")
+        roots = cut(components(found), "neardup-roots")
+        rooted = shown.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(*shown.columns, F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("h")
+        mixed = cut(rooted.join(several, "h", "left_semi"), "neardup-mixed")
+    x = mixed.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
+    y = mixed.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
+    # What can be common before this shingle, it, and what can be behind it.
+    bound = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb")) & (bound * (ABOVE + BELOW) >= ABOVE * (F.col("na") + F.col("nb")))
+    rest = cut(x.join(y, "h").filter(fits).select("a", "b").distinct(), "neardup-rest")
+    if roots is not None and rest.isEmpty():
+        return roots
+    return components(found.union(similar(rest, sets)))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +157,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated = cut(keyed.groupBy("i", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("i").alias("__i"), F.col("node").alias("__node")), "neardup-repeated")
     repeats = not repeated.isEmpty()
     texts = docs.select(col(id_col).alias("i"), node.alias("node"), col(text_col).alias("text"))
-    roots = components(verified(candidates(texts), texts, firsts, repeats).distinct())
+    roots = links(texts, firsts, repeats)
     grouped = firsts.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select("node", "i", F.coalesce("root", "node").alias("root"))
     # The least doc_id of a group stays; where all are null, the least text key decides.
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "node")).alias("m"))

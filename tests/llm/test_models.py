@@ -171,3 +171,36 @@ def test_near_copy_cases(odd):
     # The repeated row stays once; null and wordless texts are copies of their own kind only.
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in rows) == ["1", "2", "6", "7", "8", "None"]
     assert neardup.drop_near_copies(odd.limit(0)).count() == 0
+
+
+def kept_by_brute_force(rows):
+    sets = {i: set(neardup.shingle_hashes(t, 5)) for i, t in rows}
+    ids, root = sorted(sets), {i: i for i in sets}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            common = len(sets[a] & sets[b])
+            if root[a] != root[b] and 10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return sorted(set(root.values()))
+
+
+def random_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_near_copies_of_one_original(spark, monkeypatch, rounds):
+    """Variants that are near copies of the original and mostly not of each other; it isn't first."""
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    rng, rows = random.Random(5), []
+    for _ in range(2):
+        base = random_words(rng, 300)
+        for k in range(150):
+            copy = list(base)
+            for at in rng.sample(range(300), 6 if k != 75 else 0):
+                copy[at] = random_words(rng, 1)[0]
+            rows.append((len(rows), " ".join(copy)))
+    want = kept_by_brute_force(rows)
+    kept = sorted(r.doc_id for r in neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == want and len(want) < len(rows) / 10
