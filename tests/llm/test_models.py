@@ -204,3 +204,19 @@ def test_near_copies_of_one_original(spark, monkeypatch, rounds):
     want = kept_by_brute_force(rows)
     kept = sorted(r.doc_id for r in neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == want and len(want) < len(rows) / 10
+
+
+def test_near_copies_with_moved_passages(spark):
+    """Appended, cut and inserted passages at 0.78 to 0.92, beside a passage that all texts share."""
+    rng, rows = random.Random(6), []
+    shared = random_words(rng, 12)
+    for n in (40, 200, 400):
+        for share in (0.09, 0.18, 0.23, 0.27):
+            for shape in range(3):
+                base, more = shared + random_words(rng, n), random_words(rng, int(n * share))
+                half = n // 2
+                other = [base + more, base[len(more) * 4 // 5 :], base[:half] + more + base[half:]][shape]
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    want = kept_by_brute_force(rows)
+    kept = sorted(r.doc_id for r in neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == want and len(rows) / 2 < len(want) < len(rows)
