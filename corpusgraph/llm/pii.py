@@ -2,8 +2,11 @@
 
 Base detection finds e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers
 in the text as it stands. Transducers then rewrite disguises into a normalised text: Cyrillic,
-Greek and full-width look-alikes become ASCII, runs of spelled digits become digits, and at/dot
-disguises become ``@`` and ``.``. Each rewrite is an edge from a source range to its output, so
+Greek and full-width look-alikes become ASCII, spelled digits become digits, and at/dot
+disguises become ``@`` and ``.``. Where a run of spelled digits ends and whether its commas and
+dots count is open, so there are three readings: runs of six digits and more, one by one; runs
+of any length joined with the numerals beside them; and the same without commas and dots, which
+stay. Spans of all readings count, save those within another of their kind. Each rewrite is an edge from a source range to its output, so
 the normalised text comes with a map of its pieces; spans found there are carried back to source
 code points. Spans that touch no rewrite, or lie within a base span of their kind, add nothing;
 a disguised span that reaches beyond a base span is added beside it.
@@ -49,7 +52,17 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 LOOK = "[" + re.escape("".join(LOOKALIKES)) + "]"
 WORD = "(?:" + "|".join(SPELLED) + ")"
-SPELLING = rf"(?<![^\W_])(?:plus[ ,.-]+)?{WORD}(?:[ ,.-]+(?:{WORD}|[0-9])){{5,}}(?![^\W_])"
+LONG_RUN = rf"(?<![^\W_])(?:plus[ ,.-]+)?{WORD}(?:[ ,.-]+(?:{WORD}|[0-9])){{5,}}(?![^\W_])"
+
+
+def any_run(sep: str) -> str:
+    """Spelled digits in runs of any length, joined with numerals beside them.
+
+    No identifier has more than 19 digits, so 18 numerals before a word are enough.
+    """
+    return rf"(?<![^\W_])(?:plus{sep})?(?:[0-9]++{sep}){{0,18}}{WORD}(?![^\W_])(?:{sep}(?:{WORD}|[0-9]++)(?![^\W_]))*+"
+
+
 AT_BRACKET = r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*"
 DOT_BRACKET = r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*"
 DOT_WORD = r"[ \t]+dot[ \t]+"
@@ -57,11 +70,17 @@ HOST = r"[A-Za-z0-9-]+"
 # Last labels of host names before which a bare " at " or " dot " is a disguise.
 TLD = r"(?:com|org|net|edu|gov|info|biz|io|co|eu|uk|us|ca|de|fr|es|it|nl|ch|at|be|pl|pt|se|ru|br|mx|in|jp|cn|au)(?![A-Za-z0-9-])"
 AT_WORD = rf"[ \t]+at[ \t]+(?={HOST}(?:(?:{DOT_WORD}|{DOT_BRACKET}|\.){HOST}){{0,4}}?(?:{DOT_WORD}|{DOT_BRACKET}){TLD})"
-TRANSDUCER = re.compile(rf"(?P<look>{LOOK}+)|(?P<spelled>{SPELLING})|(?P<at>{AT_BRACKET}|{AT_WORD})|(?P<dot>{DOT_BRACKET}|(?<=[A-Za-z0-9-]){DOT_WORD}(?=[A-Za-z0-9]))", re.IGNORECASE)
-TOKEN = re.compile(rf"plus|{WORD}|[0-9]", re.IGNORECASE)
+# Long runs of digits one by one; runs with numerals beside them; the same where commas and dots stay.
+TRANSDUCERS = [
+    re.compile(rf"(?P<look>{LOOK}+)|(?P<spelled>{spelling})|(?P<at>{AT_BRACKET}|{AT_WORD})|(?P<dot>{DOT_BRACKET}|(?<=[A-Za-z0-9-]){DOT_WORD}(?=[A-Za-z0-9]))", re.IGNORECASE)
+    for spelling in (LONG_RUN, any_run("[ ,.-]++"), any_run("[ -]++"))
+]
+TOKEN = re.compile(rf"plus|{WORD}|[0-9]+", re.IGNORECASE)
 LOOK_ANY = re.compile(LOOK)
 BRACKET_ANY = re.compile(r"[\[({<][ \t]*(?:at|@|dot|punkt|punto|point|\.)[ \t]*[\])}>]")
-SPELLED_ANY = re.compile(rf"{WORD}[ ,.-]+{WORD}[ ,.-]+(?:{WORD}|[0-9])")
+# A digit word can only be part of an identifier if another digit is next to it. Every separator
+# of a run is of these characters, and " dot " and bracketed dots are looked for on their own.
+SPELLED_ANY = re.compile(rf"{WORD}[\W_]++(?:{WORD}|[0-9])|[0-9][\W_]++{WORD}")
 
 
 def disguised(text: str) -> bool:
@@ -117,7 +136,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def normalised(text: str) -> tuple[str, list[int], list[int], list[int], list[bool]]:
+def normalised(text: str, transducer: re.Pattern) -> tuple[str, list[int], list[int], list[int], list[bool]]:
     """Normalised text, and its pieces: start there, source start, source end, rewritten."""
     parts, at, src, end, new, done, size = [], [], [], [], [], 0, 0
 
@@ -131,7 +150,7 @@ def normalised(text: str) -> tuple[str, list[int], list[int], list[int], list[bo
             new.append(rewritten)
             size += len(s)
 
-    for m in TRANSDUCER.finditer(text):
+    for m in transducer.finditer(text):
         a, b = m.span()
         put(text[done:a], done, a, False)
         kind = m.lastgroup
@@ -153,17 +172,27 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     """Spans that only the normalised text shows, in source offsets."""
     if not disguised(text):
         return []
-    plain, at, src, end, new = normalised(text)
-    out = []
+    found, seen = set(), set()
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
-    for kind, a, b in base_spans(plain):
-        i, j = bisect.bisect_right(at, a) - 1, bisect.bisect_left(at, b) - 1
-        if not any(new[i : j + 1]):
+    for transducer in TRANSDUCERS:
+        plain, at, src, end, new = normalised(text, transducer)
+        if plain in seen:
             continue
-        start = src[i] if new[i] else src[i] + a - at[i]
-        stop = end[j] if new[j] else src[j] + b - at[j]
-        if not any(x <= start and stop <= y for x, y in taken[kind]):
+        seen.add(plain)
+        for kind, a, b in base_spans(plain):
+            i, j = bisect.bisect_right(at, a) - 1, bisect.bisect_left(at, b) - 1
+            if not any(new[i : j + 1]):
+                continue
+            start = src[i] if new[i] else src[i] + a - at[i]
+            stop = end[j] if new[j] else src[j] + b - at[j]
+            if not any(x <= start and stop <= y for x, y in taken[kind]):
+                found.add((kind, start, stop))
+    # Of spans of a kind that begin in order, one within another ends no later than some before it.
+    out, last = [], {}
+    for kind, start, stop in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], -s[2])):
+        if stop > last.get(kind, -1):
             out.append((kind, start, stop))
+            last[kind] = stop
     return out
 
 

@@ -144,6 +144,35 @@ def test_disguises_map_back(text, kind, span):
     assert span not in pii.redacted(text, [*base, *pii.added_spans(text, base)])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("call plus four 4 two 0 seven 9 four 6 zero 9 five 8 now", "phone", "plus four 4 two 0 seven 9 four 6 zero 9 five 8"),
+        ("call +1 555 five five five 0123 now", "phone", "+1 555 five five five 0123"),
+        ("call plus 1 555 five five five 0123; 2024 copies", "phone", "plus 1 555 five five five 0123"),
+        ("pay 4111 1111 1111 one one one one.", "card", "4111 1111 1111 one one one one"),
+        ("pay 4111, 1111, one one one one, 1111.", "card", "4111, 1111, one one one one, 1111"),
+        ("host one two seven dot zero dot zero dot one up", "ip", "one two seven dot zero dot zero dot one"),
+        ("call +1 555 five five five 0123 ones", "phone", "+1 555 five five five 0123"),
+        ("host 127.zero.zero.one up", "ip", "127.zero.zero.one"),
+        ("host 10 dot 0 dot 0 dot seven up", "ip", "10 dot 0 dot 0 dot seven"),
+    ],
+)
+def test_partly_spelled_identifiers(text, kind, span):
+    base = pii.base_spans(text)
+    assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.added_spans(text, base)]
+    assert span not in pii.redacted(text, [*base, *pii.added_spans(text, base)])
+
+
+def test_gate_never_shuts_out_a_span(monkeypatch):
+    """Random mixes of words, numerals and separators: the gate against no gate."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["one", "Two", "zero", "7", "10", "4111", "plus", "+", "at", "dot", "a", "x"]) + rng.choice([" ", " ", ", ", ".", "-", " dot ", "[dot]", " (", "\t"]) for _ in range(rng.randint(4, 22))) for _ in range(6000)]
+    gated = [pii.added_spans(t, pii.base_spans(t)) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert gated == [pii.added_spans(t, pii.base_spans(t)) for t in texts] and sum(map(bool, gated)) > 50
+
+
 @pytest.mark.parametrize("text", ["look at the dot product", "we met at home. One two three.", "a at b", "абв text"])
 def test_clean_text_stays_clean(text):
     assert pii.base_spans(text) + pii.added_spans(text, []) == []
