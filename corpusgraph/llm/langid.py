@@ -7,8 +7,8 @@ where a bit weighs as much as its classifier is better than chance on the traini
 ``ambiguous`` flags texts whose runner-up is close.
 
 Training takes at most ``PER_LANGUAGE`` rows of each language (chosen by a hash of the id,
-whole texts, features computed on the executors) and at most ``MAX_LANGUAGES`` languages,
-the most frequent first. Prediction reads nothing but the text.
+whole texts, features computed on the executors) and every language of the training part; the
+driver holds 16 KB for each of these rows. Prediction reads nothing but the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null languages
 and ids outside of the training part aren't learned from; one learned language is predicted
@@ -27,7 +27,6 @@ from corpusgraph.llm.common import col, map_text
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -83,15 +82,13 @@ def train_bits(x: np.ndarray, targets: np.ndarray, sweeps: int = 60, rate: float
 def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str) -> dict:
     """Model of the rows for which the column ``learn`` holds."""
     rows = docs.select(col(id_col).alias("i"), col(text_col).alias("t"), col(lang_col).alias("l")).filter(learn & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = sorted(((r[1], r[0]) for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).select("l", "count").collect()), key=lambda x: (-x[0], x[1]))
-    langs = sorted(name for _, name in counts)
+    counts = rows.groupBy("l").count()
+    langs = sorted(r[0] for r in counts.select("l").collect())
     if not langs:
         return {"langs": []}
     part = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("langid")), F.lit(1_000_003))
     # A hash threshold takes about 1.2 times the bound; the bound itself is held below.
-    wanted = F.lit(False)
-    for n, name in counts:
-        wanted |= (F.col("l") == name) & (part <= int(min(1.0, 1.2 * PER_LANGUAGE / n) * 1_000_003))
+    wanted = part <= (F.least(F.lit(1.0), F.lit(1.2 * PER_LANGUAGE) / F.col("count")) * 1_000_003).cast("long")
 
     def make():
         def f(texts, langs):
@@ -100,15 +97,15 @@ def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str) ->
 
         return f
 
-    sampled = map_text(rows.filter(wanted), make, [("at", "array<int>"), ("has", "binary")], text="t", keep=["i", "l"], args=["l"])
-    taken, x, y = dict.fromkeys(langs, 0), [], []
+    sampled = map_text(rows.join(F.broadcast(counts), "l").filter(wanted).select("i", "t", "l"), make, [("at", "array<int>"), ("has", "binary")], text="t", keep=["i", "l"], args=["l"])
+    taken, index, x, y = dict.fromkeys(langs, 0), {name: i for i, name in enumerate(langs)}, [], []
     for r in sorted(sampled.collect(), key=lambda r: (str(r[1]), str(r[0]), bytes(r[3]))):
         if taken[r[1]] < PER_LANGUAGE:
             taken[r[1]] += 1
             row = np.zeros(DIMENSIONS, dtype=np.float32)
             row[np.array(r[2], dtype=np.int64)] = np.frombuffer(bytes(r[3]), dtype=np.float32)
             x.append(row)
-            y.append(langs.index(r[1]))
+            y.append(index[r[1]])
     langs_of, code = np.array(y, dtype=np.int64), codewords(len(langs))
     if len(langs) == 1 or not x:
         return {"langs": langs, "w": None}
@@ -141,8 +138,10 @@ def predict(docs: DataFrame, model: dict, *, keep: list[str] | None = None, text
             rows = texts.to_pylist()
             named, score, close = [UNDETERMINED] * len(rows), [0.0] * len(rows), [False] * len(rows)
             at = [i for i, s in enumerate(rows) if s is not None and LETTER.search(s)] if model["langs"] else []
-            for k in range(0, len(at), 128):
-                some = at[k : k + 128]
+            # Decoding takes a number for each row and bit of every codeword.
+            step = max(1, min(128, 2_000_000 // model["code"].size)) if model.get("w") is not None else 128
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
                 if model["w"] is None:
                     best, p, lead = [0] * len(some), [1.0] * len(some), [1.0] * len(some)
                 else:

@@ -24,6 +24,16 @@ def test_langid_ignores_held_out_labels(spark):
     assert langid.identify(lie).filter("lang_pred = 'zz'").count() == 0
 
 
+def test_langid_learns_every_language(spark):
+    """Seventy languages of their own letters, of which the rarer ones would fall behind 64."""
+    rng, rows = random.Random(2), []
+    for n in range(70):
+        letters = [chr(0x4E00 + 40 * n + k) for k in range(12)]
+        rows += [(len(rows) + k, " ".join("".join(rng.choices(letters, k=4)) for _ in range(12)), f"l{n:02}") for k in range(12 if n < 64 else 8)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {r[2] for r in rows} and sum(r.lang == r.lang_pred for r in got) > 0.9 * len(got)
+
+
 def test_langid_cases(odd, spark):
     rows = langid.identify(odd).collect()
     assert len(rows) == odd.count()
