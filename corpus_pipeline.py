@@ -41,9 +41,9 @@ def personal_data(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    """Sampled piece ids of each text; decoding them gives the text back."""
+    """Sampled piece ids of each text, decoded again: ``lossless`` tells whether the text came back."""
     kept = [c for c in docs.columns if c != "text"]
-    return pieces.encode(docs, keep=kept).withColumn("n_pieces", F.size("piece_ids"))
+    return pieces.round_trip(docs, keep=kept).withColumn("n_pieces", F.size("piece_ids"))
 
 
 STAGES = [

@@ -301,6 +301,17 @@ def encode(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int
     return _run(docs, [("piece_ids", "array<int>")], lambda v, texts, ids: [[None if t is None else i.tolist() for t, i in zip(texts, ids, strict=True)]], model, theta, seed, keep, id_col, text_col)
 
 
+def round_trip(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int = 0, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`encode`, with ``lossless``: whether decoding the ids gives the exact text."""
+
+    def made(v, texts, ids):
+        ids = [i.tolist() for i in ids]
+        same = [t is None or decode_ids(i, v) == t for t, i in zip(texts, ids, strict=True)]
+        return [[None if t is None else i for t, i in zip(texts, ids, strict=True)], same]
+
+    return _run(docs, [("piece_ids", "array<int>"), ("lossless", "boolean")], made, model, theta, seed, keep, id_col, text_col)
+
+
 def digest(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int = 0, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`encode`, but with the ids' number and checksum and whether decoding is exact."""
     import zlib

@@ -39,3 +39,8 @@ def test_stages(spark):
     v = pieces.load()
     assert {i: pieces.decode_ids(r.piece_ids, v).decode() for i, r in tokens.items()} == {i: r.text for i, r in safe.items()}
     assert all(r.n_pieces == len(r.piece_ids) for r in tokens.values())
+
+
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "A text.\n\nÉ \U0001f40d"), (2, ""), (3, None)], "doc_id long, text string")
+    assert [r.lossless for r in corpus_pipeline.tokens(spark, docs, DATA).collect()] == [True] * 3
