@@ -9,8 +9,9 @@ calibrates the probabilities, and the threshold below which a family becomes ``u
 2nd percentile of what held-out variants of known families reach. A family is ``confirmed`` when
 most of the paragraph's bigrams occur in one of the family's templates.
 
-Only paragraphs with a cue word (one whose weight speaks for some licence class against
-``none``) are scored; for all others ``none`` is the most probable class by construction.
+A paragraph without any n-gram of licence talk is ``none``. Others aren't scored only if a bound
+proves that ``none`` is the most probable class: for each n-gram, and the bias, the most that it
+speaks for some class against ``none``, summed up.
 
 Defined cases: null and empty texts have no paragraphs; offsets are code points, ends
 exclusive, of paragraphs with outer space stripped; very long texts are scanned whole; repeated
@@ -112,8 +113,8 @@ class Model:
         known = truth != self.classes.index(UNKNOWN)
         self.threshold = float(min(0.9, max(0.35, np.quantile(p[known, truth[known]], 0.02))))
         none = self.classes.index(NONE)
-        lead = (w - w[:, [none]]).max(axis=1)
-        self.cues = frozenset(g for g, i in self.column.items() if " " not in g and lead[i] > 0.5)
+        lead = np.delete(w - w[:, [none]], none, axis=1).max(axis=1)
+        self.leads, self.bias_lead = {g: float(lead[i]) for g, i in self.column.items()}, float(lead[-1])
         self.template_grams = {f: [frozenset(grams(words_of(t))[len(words_of(t)) :]) for t in ts] for f, ts in TEMPLATES.items()}
 
     def _row(self, words: list[str]) -> np.ndarray:
@@ -129,6 +130,11 @@ class Model:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def surely_none(self, words: list[str]) -> bool:
+        """Whether no class can outweigh ``none``; a small margin stands for rounding."""
+        has = self.leads.keys() & grams(words)
+        return not has or self.bias_lead + sum(self.leads[g] for g in has) < -1e-3
+
     def classify(self, words: list[str]) -> tuple[str, float, bool]:
         """Class, probability and whether a template confirms it."""
         p = self._softmax((self._row(words) @ self.w)[None] / self.temperature)[0]
@@ -151,7 +157,7 @@ class Model:
             if bare := line.strip():
                 n += 1
                 words = words_of(bare)
-                if not self.cues.isdisjoint(words):
+                if not self.surely_none(words):
                     label, p, ok = self.classify(words)
                     if label != NONE:
                         start = at + line.index(bare)

@@ -230,3 +230,21 @@ def test_near_copies_with_moved_passages(spark):
     want = kept_by_brute_force(rows)
     kept = sorted(r.doc_id for r in neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == want and len(rows) / 2 < len(want) < len(rows)
+
+
+def test_licence_shortcut_changes_nothing():
+    """Cut and reworded notices and plain words: unscored paragraphs against scoring all."""
+    rng = random.Random(4)
+    model = licences.Model([" ".join(random_words(rng, 12)) for _ in range(200)] + ["the work of this city is for any person and the use of it"] * 50)
+    vocabulary = sorted({g for g in model.column if " " not in g})
+    notices = [licences.words_of(t) for ts in licences.TEMPLATES.values() for t in ts]
+    skipped = 0
+    for _ in range(4000):
+        words = rng.choice(notices)
+        at = rng.randrange(len(words))
+        words = [*words[at : at + rng.randint(0, 4)], *rng.choices(vocabulary, k=rng.randint(0, 3)), *random_words(rng, rng.randint(0, 4))]
+        skipped += model.surely_none(words)
+        _, hits = model.scan(" ".join(words))
+        scored = licences.words_of(" ".join(words))
+        assert [h[0] for h in hits] == [c for c in [model.classify(scored)[0]] if c != licences.NONE and scored]
+    assert skipped
