@@ -1,7 +1,8 @@
 """Shared plumbing of the training-data operators.
 
 * :func:`cut` writes a table to the shared folder named by ``spark.checkpoint.dir`` and
-  reads it back, so a lost executor costs a re-read and never a recomputed lineage.
+  reads it back, so a lost executor costs a re-read and never a recomputed lineage;
+  :func:`scratch` deletes such tables once the result no longer reads them.
 * :func:`map_text` runs a vectorised Arrow function over whole texts, in sub-batches whose
   size is bounded in bytes, and passes other columns through untouched.
 * :func:`components` labels connected components with alternating large-star and
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 OWN_CHECKPOINTS = "/tmp/checkpoints"
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2048
+_SCRATCH: ContextVar[tuple] = ContextVar("tables cut in the open scratch blocks", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +54,33 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
+    if made := _SCRATCH.get():
+        made[0].append(back)
     return back
 
 
+@contextmanager
+def scratch():
+    """Tables cut inside are deleted at the end, but for those given to the yielded function."""
+    made, kept = [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._cut_path)
+        return df
+
+    outer = _SCRATCH.get()
+    token = _SCRATCH.set(((made, *outer) if outer else (made,)))
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for df in made:
+            if df._cut_path not in kept:
+                discard(df)
+            elif outer:
+                outer[0].append(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` once nothing reads it any more."""
     path = getattr(df, "_cut_path", None)

@@ -21,54 +21,83 @@ loses no link.
 Defined cases: a null or wordless text has fingerprint 0 and links like any other; a text of
 fewer words than a shingle has one shingle of all its words; repeated rows and copies share
 one fingerprint and aren't expanded into pairs; rows with a null doc_id get the component of
-their fingerprint (null if no row there has a doc_id); an empty table gives an empty result.
+their fingerprint (null if no row there has a doc_id); an empty table gives an empty result;
+very long texts are hashed in chunks whose bit counts add up; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import components, cut, map_text
+from corpusgraph.llm.common import components, cut, map_text, scratch
 
 BUCKET = 64
 DISTANCE = 2
 SEGMENTS = (13, 13, 13, 13, 12)
+#: Bytes of text hashed at a time.
+CHUNK = 1 << 20
+BLANK = re.compile(rb"[ \t-\r]")
 
 
-def shingle_hashes(text: str | None, size: int) -> list[int]:
+def hash_chunks(text: str | None, size: int, chunk: int = CHUNK) -> Iterator[list[int]]:
+    """XXH64 of the shingles in order, for about ``chunk`` bytes of text at a time."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return []
-    h = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return [h(b" ".join(words), 42)]
-    whole = b" ".join(words)
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
-    ends = [*starts[size:], at]
-    return [h(whole[a : b - 1], 42) for a, b in zip(starts, ends, strict=False)]
+    h, raw, words, start, some = xxhash.xxh64_intdigest, (text or "").encode("utf-8", "surrogatepass"), [], 0, False
+    while start < len(raw):
+        stop = len(raw)
+        if start + chunk < stop and (m := BLANK.search(raw, start + chunk)):
+            stop = m.start()
+        # The last words of a chunk begin the shingles that reach into the next one.
+        words = [*(words[1 - size :] if some and size > 1 else [] if some else words), *raw[start:stop].lower().split()]
+        start = stop
+        if len(words) < size:
+            continue
+        some, whole, starts, at = True, b" ".join(words), [], 0
+        for w in words:
+            starts.append(at)
+            at += len(w) + 1
+        ends = [*starts[size:], at]
+        yield [h(whole[a : b - 1], 42) for a, b in zip(starts, ends, strict=False)]
+    if words and not some:
+        yield [h(b" ".join(words), 42)]
+
+
+def shingle_hashes(text: str | None, size: int) -> list[int]:
+    return [x for some in hash_chunks(text, size) for x in some]
+
+
+def bit_counts(hashes: list[int]) -> np.ndarray:
+    return np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts, n: int) -> int:
+    """Signed 64-bit word of the bits that are set in over half of n hashes."""
+    return int(np.packbits(counts * 2 > n).view(">i8")[0]) if n else 0
 
 
 def fingerprint_of(hashes: list[int]) -> int:
-    """Signed 64-bit majority word."""
-    import numpy as np
+    return majority(bit_counts(hashes), len(hashes)) if hashes else 0
+
 
-    if not hashes:
-        return 0
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(">i8")[0])
+def fingerprint(text: str | None, size: int) -> int:
+    """As :func:`fingerprint_of` of all shingles, in memory bounded but for the words of a chunk."""
+    counts, n = 0, 0
+    for some in hash_chunks(text, size):
+        counts, n = counts + bit_counts(some), n + len(some)
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, *, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` (columns ``keep``) with ``fp``, the fingerprint as a signed long."""
 
     def make():
-        return lambda texts: [[fingerprint_of(shingle_hashes(s, shingle)) for s in texts.to_pylist()]]
+        return lambda texts: [[fingerprint(s.as_py(), shingle) for s in texts]]
 
     return map_text(docs, make, [("fp", "long")], text=text_col, keep=keep)
 
@@ -113,10 +142,11 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of ``docs``."""
-    prints = cut(fingerprints(docs, shingle, keep=[id_col], text_col=text_col).withColumnRenamed(id_col, "doc_id"), "simhash-prints")
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(fps.select("fp"), bucket))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = cut(rooted.join(ids, "root").select("fp", "component_id"), "simhash-components")
+    with scratch() as keep:
+        prints = keep(cut(fingerprints(docs, shingle, keep=[id_col], text_col=text_col).toDF("doc_id", "fp"), "simhash-prints"))
+        fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+        roots = components(links(fps.select("fp"), bucket))
+        rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_fp = keep(cut(rooted.join(ids, "root").select("fp", "component_id"), "simhash-components"))
     return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
