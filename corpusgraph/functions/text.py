@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and what they fold to.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñç"
-PLAIN = "aaaaaaeeeeiiiiooooouuuunc"
+def _folding() -> tuple[str, str]:
+    """Letters with marks and their bare letters, then the marks themselves, which go.
+
+    A rule over Unicode's canonical decompositions below the East Asian blocks, so that texts and
+    queries fold alike on both sides, in column functions and on the driver.
+    """
+    marked, bare, marks = [], [], []
+    for c in map(chr, range(0x80, 0x3000)):
+        parts = unicodedata.normalize("NFD", c)
+        kept = [p for p in parts if not unicodedata.combining(p)]
+        if not kept:
+            marks.append(c)
+        elif len(kept) == 1 and kept[0] != c:
+            marked.append(c)
+            bare.append(kept[0].lower())
+    return "".join(marked + marks), "".join(bare)
+
+
+ACCENTED, PLAIN = _folding()
+_TABLE = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -18,6 +36,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
+def folded(text: str) -> str:
+    """As :func:`fold`, of a query on the driver."""
+    return text.lower().translate(_TABLE)
+
+
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits, in order."""
     return F.regexp_extract_all(fold(text), F.lit(f"({TOKEN})"), 1)

@@ -15,15 +15,15 @@ def defines(symbols: DataFrame) -> DataFrame:
 def calls(call_sites: DataFrame, definitions: DataFrame, most: int = MAX_FANOUT) -> DataFrame:
     """Calls joined to definitions by name; names with more than ``most`` targets are dropped.
 
-    The fan-out is counted before the join, so frequent names never reach it.
+    The fan-out is counted before the join, so frequent names never reach it, and call sites meet
+    the names that are left before they are told apart: the aggregate behind the join does that.
     """
     names = definitions.select("name", "id").distinct()
     fan = names.groupBy("name").agg(F.count(F.lit(1)).alias("fan")).filter(F.col("fan") <= most)
     targets = names.join(fan, "name")
     weight = F.when(F.col("fan") > 1, AMBIGUOUS_CALL_WEIGHT).otherwise(EDGE_WEIGHTS["calls"])
-    sites = call_sites.select("caller", "callee").distinct()
     return (
-        sites.join(targets, F.col("callee") == F.col("name"))
+        call_sites.select("caller", "callee").join(targets, F.col("callee") == F.col("name"))
         .filter(F.col("caller") != F.col("id"))
         .groupBy(F.col("caller").alias("src"), F.col("id").alias("dst"))
         .agg(F.max(weight).alias("weight"))
@@ -65,9 +65,25 @@ def imports(statements: DataFrame, files: DataFrame) -> DataFrame:
     return found.filter("n = 1").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"), F.lit("imports").alias("kind"), F.lit(EDGE_WEIGHTS["imports"]).alias("weight")).distinct()
 
 
+def covers(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, at, start, end, span_id) of every point and every span of its key that covers it.
+
+    An equi-join at any number of spans a key: a span of a length up to 2**k lies in one or two
+    cells of that width, and a point looks into the cell it is in at each level that occurs (at
+    most 64). So a hot key is dealt over as many keys as it has cells.
+    """
+    length = F.col("end") - F.col("start")
+    sized = spans.filter("start <= end").withColumn("level", F.when(length > 0, F.length(F.bin(length.cast("long")))).otherwise(0))
+    levels = sorted(r[0] for r in sized.select("level").distinct().collect())
+    cell = lambda at, k: F.call_function("shiftright", at.cast("long"), k.cast("int"))
+    in_cells = sized.withColumn("cell", F.explode(F.sequence(cell(F.col("start"), F.col("level")), cell(F.col("end"), F.col("level")))))
+    looks = points.select(key, "at", F.explode(F.lit(levels).cast("array<int>")).alias("level")).withColumn("cell", cell(F.col("at"), F.col("level")))
+    return looks.join(in_cells, [key, "level", "cell"]).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end"))).select(key, "at", "start", "end", "span_id")
+
+
 def narrowest_cover(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """For each point the narrowest span of its key that covers it, ties by the span's id."""
-    joined = points.join(spans, key).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
+    joined = covers(points, spans, key)
     return joined.groupBy(key, "at").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), F.col("span_id").alias("id"))).alias("m")).select(key, "at", F.col("m.id").alias("span_id"), F.col("m.width").alias("width"))
 
 

@@ -39,6 +39,9 @@ def reach(steps: DataFrame, start: str, depth: int, limit: int | None = IMPACT_L
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if limit and seen.count() > limit:
+            # Nearer nodes come first, so what lies beyond these can't be among the results.
+            break
     out = seen.filter(F.col("id") != start)
     return out.orderBy("hops", "id").limit(limit) if limit else out
 
@@ -51,7 +54,11 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.6
     both = live.select("src", "dst", "weight").union(live.select(F.col("dst"), F.col("src"), "weight"))
     best = seeds.select("id", "score")
     frontier = best
-    for _ in range(hops):
+    for hop in range(hops):
+        if hop:
+            # Scores only fall along a path: what is below the results found already leads to none.
+            top = best.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score")).limit(limit).agg(F.count(F.lit(1)), F.min("score")).first()
+            frontier = frontier.filter(F.col("score") >= top[1]) if top[0] == limit else frontier
         step = frontier.join(both, frontier["id"] == both["src"]).select(F.col("dst").alias("id"), (F.col("score") * F.col("weight") * decay).alias("score"))
         frontier = written(step.filter(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score")), "spread")
         best = best.unionByName(frontier)

@@ -12,11 +12,13 @@ import hashlib
 import io
 import re
 import tokenize
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusgraph.schema import SYMBOLS
 
@@ -41,7 +43,7 @@ LANGUAGES = {
         r"class\s", r"^[ \t]*import\s[^;\n]*",
     ),
     "go": Language((".go",), ("_test.go",), ("Test", "Benchmark", "Fuzz"), r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)|^type\s+(?P<method>\w+)\s+(?:struct|interface)", "", r'^import\s+(?:\([^)]*\)|"[^"\n]*")'),
-    "rust": Language((".rs",), ("/tests/", "_test.rs"), ("test_",), r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait)\s+(?P<name>\w+)|impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<scope>\w+)", r"trait\s", r"^[ \t]*(?:pub\s+)?use\s[^;]*"),
+    "rust": Language((".rs",), ("/tests/", "_test.rs"), ("test_",), r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait)\s+(?P<name>\w+)|impl(?:<[^>{]*>)?\s+(?:[\w:<>,' &]+?\s+for\s+)?(?:&\s*(?:'\w+\s+)?)?(?:\w+::)*(?P<scope>\w+)", r"trait\s", r"^[ \t]*(?:pub\s+)?use\s[^;]*"),
 }
 KEYWORDS = frozenset("if for while switch match return catch function fn func class new await async sizeof typeof super".split())
 
@@ -121,9 +123,22 @@ def python_symbols(path: str, text: str) -> tuple[list[dict], list[str]]:
     return rows, imports
 
 
-def blanked(text: str) -> str:
-    """Strings and comments as spaces, so that braces and names in them don't count."""
-    return re.sub(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/', lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+# What holds braces and names that don't count, by language. A quote is a Rust character only
+# if it closes behind one; else it begins a lifetime. A slash begins a TypeScript pattern only
+# where no value can stand before it.
+STRING, CHARACTER = r'"(?:\\.|[^"\\])*"', r"'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'"
+COMMENT, QUOTED = r"//[^\n]*|/\*.*?\*/", r"""(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"""
+PATTERN = r"(?<=[=(,:!&|?{};\[])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\n])*\]|[^/\\\n\[])+/[a-z]*"
+HIDDEN = {
+    "rust": re.compile(rf'r(?P<h>#*)".*?"(?P=h)|{COMMENT}|{STRING}|{CHARACTER}', re.S),
+    "go": re.compile(rf"{COMMENT}|{QUOTED}", re.S),
+    "typescript": re.compile(rf"{COMMENT}|{QUOTED}|{PATTERN}", re.S),
+}
+
+
+def blanked(text: str, language: str) -> str:
+    """Strings, patterns and comments as spaces, so that braces and names in them don't count."""
+    return HIDDEN[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
 def _close(plain: str, at: int) -> int:
@@ -144,7 +159,7 @@ def _close(plain: str, at: int) -> int:
 
 
 def brace_symbols(path: str, text: str, language: str) -> tuple[list[dict], list[str]]:
-    lang, plain = LANGUAGES[language], blanked(text)
+    lang, plain = LANGUAGES[language], blanked(text, language)
     found = []
     for m in re.finditer(lang.declaration, plain, re.M):
         kind = "scope" if m.groupdict().get("scope") else "symbol"
@@ -173,40 +188,55 @@ def brace_symbols(path: str, text: str, language: str) -> tuple[list[dict], list
 
 
 def symbols_of(path: str, text: str) -> tuple[list[dict], list[str]]:
+    return parsed(path, text)[:2]
+
+
+def parsed(path: str, text: str) -> tuple[list[dict], list[str], bool]:
+    """Symbols, import statements, and whether a file of a known language couldn't be parsed."""
     language = language_of(path)
     if language is None or text is None:
-        return [], []
+        return [], [], False
     try:
-        return python_symbols(path, text) if language == "python" else brace_symbols(path, text, language)
+        return *(python_symbols(path, text) if language == "python" else brace_symbols(path, text, language)), False
     except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
-        return [], []
+        return [], [], True
 
 
-def parse_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of ``files`` (path, content): a row for each, in Arrow batches."""
-    names = [f.name for f in SYMBOLS]
+STATEMENTS = T.StructType(
+    [
+        T.StructField("src_path", T.StringType()), T.StructField("statement_id", T.IntegerType()), T.StructField("statement", T.StringType()), T.StructField("language", T.StringType()),
+        T.StructField("candidates", T.ArrayType(T.StringType())), T.StructField("by_suffix", T.BooleanType()),
+    ]
+)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parse_files(files: DataFrame) -> DataFrame:
+    """(path, symbols, imports, failed) of ``files`` (path, content), each file parsed once."""
+    out = T.StructType([T.StructField("path", T.StringType()), T.StructField("symbols", T.ArrayType(SYMBOLS)), T.StructField("imports", T.ArrayType(STATEMENTS)), T.StructField("failed", T.BooleanType())])
+    kinds = to_arrow_schema(out)
+
+    def run(batches):
         for b in batches:
-            rows = [r for p, t in zip(b["path"], b["content"], strict=True) for r in symbols_of(p, t)[0]]
-            yield pd.DataFrame(rows, columns=names)
+            paths, symbols, imports, failed = b.column("path").to_pylist(), [], [], []
+            for p, t in zip(paths, b.column("content").to_pylist(), strict=True):
+                found, statements, bad = parsed(p, t)
+                lang = language_of(p)
+                symbols.append(found)
+                imports.append([dict(zip(STATEMENTS.names, (p, k, s, lang, import_candidates(p, lang, s), lang in ("python", "go")), strict=True)) for k, s in enumerate(statements)])
+                failed.append(bad)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds.field(i).type) for i, x in enumerate((paths, symbols, imports, failed))], schema=kinds)
 
-    return files.select("path", "content").mapInPandas(run, SYMBOLS)
+    return files.select("path", "content").mapInArrow(run, out)
 
 
-def parse_imports(files: DataFrame) -> DataFrame:
-    """(src_path, statement_id, statement, language, candidates, by_suffix) of import statements."""
+def parse_symbols(files: DataFrame) -> DataFrame:
+    """Symbols of ``files`` (path, content), a row for each."""
+    return parse_files(files).select(F.explode("symbols").alias("s")).select("s.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, t in zip(b["path"], b["content"], strict=True):
-                lang = language_of(p)
-                for k, s in enumerate(symbols_of(p, t)[1]):
-                    rows.append((p, k, s, lang, import_candidates(p, lang, s), lang in ("python", "go")))
-            yield pd.DataFrame(rows, columns=["src_path", "statement_id", "statement", "language", "candidates", "by_suffix"])
 
-    return files.select("path", "content").mapInPandas(run, "src_path string, statement_id int, statement string, language string, candidates array<string>, by_suffix boolean")
+def parse_imports(files: DataFrame) -> DataFrame:
+    """(src_path, statement_id, statement, language, candidates, by_suffix) of import statements."""
+    return parse_files(files).select(F.explode("imports").alias("s")).select("s.*")
 
 
 # What a module path may end in.

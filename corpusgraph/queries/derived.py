@@ -40,14 +40,14 @@ def edge_calls_fanout(spark, d):
 @query(
     "edge_tested_by",
     """
-WITH c AS (SELECT DISTINCT event_id AS id, 'test_' || event_type || '_' || (user_id % 40) AS name FROM events WHERE event_id % 50 = 0),
+WITH c AS (SELECT DISTINCT event_id AS id, 'test_' || event_type || '_' || (user_id % 40) AS name FROM events),
 s AS (SELECT 's' || u AS id, t || '_' || u AS name FROM (SELECT DISTINCT event_type AS t, user_id % 40 AS u FROM events)),
 fan AS (SELECT name, count(DISTINCT id) AS fan FROM s GROUP BY name)
 SELECT DISTINCT s.id || '/' || s.name AS src, 't' || c.id AS dst, 'tested_by' AS kind, CAST(0.85 AS DOUBLE) AS weight FROM c JOIN s ON regexp_replace(c.name, '^(?:test_|Test|test)', '') = s.name JOIN fan ON fan.name = s.name WHERE fan <= 8""",
 )
 def edge_tested_by(spark, d):
     ev = table(spark, d, "events").withColumn("u", F.col("user_id") % 40)
-    tests = ev.filter("event_id % 50 = 0").select(F.concat(F.lit("t"), F.col("event_id")).alias("id"), F.concat(F.lit("test_"), "event_type", F.lit("_"), "u").alias("name"))
+    tests = ev.select(F.concat(F.lit("t"), F.col("event_id")).alias("id"), F.concat(F.lit("test_"), "event_type", F.lit("_"), "u").alias("name"))
     name = F.concat("event_type", F.lit("_"), "u")
     subjects = ev.select(F.concat(F.lit("s"), "u", F.lit("/"), name).alias("id"), name.alias("name")).distinct()
     return edges.tested_by(tests, subjects)
@@ -55,7 +55,7 @@ def edge_tested_by(spark, d):
 
 IMPORTS_SQL = """
 WITH links AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"/]+)"', 1)) AS c FROM pages),
-files AS (SELECT 'p/' || page_id || '/' || regexp_extract(html, 'href="/([^"/]+)"', 1) AS path FROM pages WHERE page_id % 7 = 0),
+files AS (SELECT 'p/' || page_id || '/' || regexp_extract(html, 'href="/([^"/]+)"', 1) AS path FROM pages WHERE contains(url, '://www.')),
 tails AS (SELECT path, regexp_replace(path, '^p/[0-9]+/', '') AS c FROM files),
 found AS (SELECT 'p/' || l.page_id AS src, l.c, count(DISTINCT t.path) AS n, min(t.path) AS dst FROM links l JOIN tails t ON l.c = t.c AND NOT starts_with(t.path, 'p/' || l.page_id || '/') GROUP BY 1, 2)
 SELECT DISTINCT src, dst, 'imports' AS kind, CAST(0.6 AS DOUBLE) AS weight FROM found WHERE n = 1"""
@@ -63,30 +63,31 @@ SELECT DISTINCT src, dst, 'imports' AS kind, CAST(0.6 AS DOUBLE) AS weight FROM
 
 @query("edge_imports_unique", IMPORTS_SQL)
 def edge_imports_unique(spark, d):
-    # A page imports what its links name; the first link's name ends the page's own path.
+    # A page imports what its links name; pages of www hosts are files, whose path ends in the
+    # name of their first link.
     links = F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), 1)
-    pages = table(spark, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id")).alias("src_path"), F.array_distinct(links).alias("links"), F.element_at(links, 1).alias("own"), "page_id")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id")).alias("src_path"), F.array_distinct(links).alias("links"), F.element_at(links, 1).alias("own"), "url")
     statements = pages.select("src_path", F.explode("links").alias("c")).select("src_path", F.col("c").alias("statement_id"), F.lit(True).alias("by_suffix"), F.array("c").alias("candidates"))
     # A page is its own file's source under the file's name, so that it never imports itself.
-    named = F.concat("src_path", F.lit("/"), "own")
-    pages = pages.withColumn("as_file", F.when(F.col("page_id") % 7 == 0, named).otherwise(F.col("src_path")))
+    is_file = F.contains("url", F.lit("://www."))
+    pages = pages.withColumn("as_file", F.when(is_file, F.concat("src_path", F.lit("/"), "own")).otherwise(F.col("src_path")))
     statements = statements.join(pages.select("src_path", "as_file"), "src_path").select(F.col("as_file").alias("src_path"), "statement_id", "by_suffix", "candidates")
-    files = pages.filter("page_id % 7 = 0").select(F.concat("src_path", F.lit("/"), "own").alias("path"))
+    files = pages.filter(is_file).select(F.concat("src_path", F.lit("/"), "own").alias("path"))
     return edges.imports(statements, files).withColumn("src", F.regexp_extract("src", "^p/[0-9]+", 0))
 
 
 SPANS_SQL = """
 WITH o AS (SELECT user_id, event_id, ts, lag(ts, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
-spans AS (SELECT user_id, event_id AS span_id, epoch_us(s) AS "start", epoch_us(ts) AS "end" FROM o WHERE s IS NOT NULL AND event_id % 3 = 0),
-points AS (SELECT DISTINCT user_id, epoch_us(ts) AS "at" FROM events WHERE event_id % 5 = 0),
+spans AS (SELECT user_id, event_id AS span_id, epoch_us(s) AS "start", epoch_us(ts) AS "end" FROM o WHERE s IS NOT NULL),
+points AS (SELECT DISTINCT user_id, epoch_us(ts) AS "at" FROM events),
 j AS (SELECT p.user_id, p."at", s.span_id, s."end" - s."start" AS width FROM points p JOIN spans s ON p.user_id = s.user_id AND s."start" <= p."at" AND p."at" <= s."end")"""
 
 
 def spans_and_points(spark, d):
     ev = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    spans = ev.withColumn("start", F.lag("us", 3).over(w)).filter("start is not null and event_id % 3 = 0").select("user_id", F.col("event_id").alias("span_id"), "start", F.col("us").alias("end"))
-    return spans, ev.filter("event_id % 5 = 0").select("user_id", F.col("us").alias("at")).distinct()
+    spans = ev.withColumn("start", F.lag("us", 3).over(w)).filter("start is not null").select("user_id", F.col("event_id").alias("span_id"), "start", F.col("us").alias("end"))
+    return spans, ev.select("user_id", F.col("us").alias("at")).distinct()
 
 
 @query("interval_join_narrowest", SPANS_SQL + ''' SELECT user_id, "at", arg_min(span_id, {'w': width, 's': span_id}) AS span_id, min(width) AS width FROM j GROUP BY user_id, "at"''')
@@ -98,14 +99,14 @@ def interval_join_narrowest(spark, d):
 @query("join_range", SPANS_SQL + ''' SELECT user_id, "at", count(*) AS n FROM j GROUP BY user_id, "at"''')
 def join_range(spark, d):
     spans, points = spans_and_points(spark, d)
-    return points.join(spans, "user_id").filter("start <= at and at <= end").groupBy("user_id", "at").agg(F.count(F.lit(1)).alias("n"))
+    return edges.covers(points, spans, "user_id").groupBy("user_id", "at").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join_asof", "SELECT e.event_id, p.event_id AS prior_id FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_id % 7 = 0 GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+@query("join_asof", "SELECT e.event_id, p.event_id AS prior_id FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def join_asof(spark, d):
     # One sort: the rows to look up and those to look among are the same partition's.
     w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = F.when(F.col("event_id") % 7 == 0, F.struct(F.col("ts").alias("t"), F.col("event_id").alias("i")))
+    prior = F.when(F.col("event_type") == "purchase", F.struct(F.col("ts").alias("t"), F.col("event_id").alias("i")))
     return table(spark, d, "events").withColumn("p", prior).select("event_id", F.max("p").over(w)["i"].alias("prior_id"))
 
 
@@ -124,10 +125,25 @@ def cochange_pairs(spark, d):
     return edges.changed_together(changes, support=SUPPORT).withColumn("support", F.round("support", 3))
 
 
-@query("cochange_capped")
+# The greedy fold itself: pairs in their order, each kept while both ends have room.
+CAPPED_SQL = f"""
+WITH RECURSIVE {CHANGES_SQL},
+rated AS (SELECT a, b, commits, commits / CAST(greatest(x.n, y.n) AS DOUBLE) AS support FROM pc JOIN n x ON x.s = a JOIN n y ON y.s = b WHERE commits / CAST(greatest(x.n, y.n) AS DOUBLE) >= {SUPPORT}),
+ordered AS (SELECT *, row_number() OVER (ORDER BY commits DESC, a, b) AS k FROM rated),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ends, false AS kept
+  UNION ALL
+  SELECT o.k, CASE WHEN ok THEN f.ends || [o.a, o.b] ELSE f.ends END, ok
+  FROM fold f JOIN (SELECT * FROM ordered) o ON o.k = f.k + 1,
+  LATERAL (SELECT len(list_filter(f.ends, lambda x: x = o.a)) < 8 AND len(list_filter(f.ends, lambda x: x = o.b)) < 8 AS ok)
+)
+SELECT a, b, commits, round(support, 3) AS support FROM ordered JOIN fold USING (k) WHERE kept"""
+
+
+@query("cochange_capped", CAPPED_SQL)
 def cochange_capped(spark, d):
     changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("symbol"))
-    return edges.capped_degree(edges.changed_together(changes, support=SUPPORT))
+    return edges.capped_degree(edges.changed_together(changes, support=SUPPORT)).withColumn("support", F.round("support", 3))
 
 
 # An older and a newer snapshot of the documents, by fixed rules.
@@ -244,8 +260,8 @@ def join_left_outer(spark, d):
     return o.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_linenumber").alias("n_lines"))
 
 
-@query("join_full_outer", "WITH c AS (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1) SELECT coalesce(c.k, s.k) AS k, n_customers, n_suppliers FROM c FULL JOIN s ON c.k = s.k")
+@query("join_full_outer", "WITH c AS (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) SELECT coalesce(c.k, s.k) AS k, n_customers, n_suppliers FROM c FULL JOIN s ON c.k = s.k")
 def join_full_outer(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_customers"))
-    s = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_suppliers"))
+    c = table(spark, d, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_customers"))
+    s = table(spark, d, "supplier").filter("s_acctbal > 8000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_suppliers"))
     return c.join(s, "k", "full_outer")

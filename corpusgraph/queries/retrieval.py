@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import tokens
 from corpusgraph.operators import lexical, memory, ranking, vector
+from corpusgraph.plans.index import indexed
+from corpusgraph.plans.lineage import written
 from corpusgraph.plans.search import hybrid
 from corpusgraph.queries.registry import PATH_SQL, TOKENS_SQL, query, table
 
@@ -41,14 +43,26 @@ s AS (SELECT doc_id, sum(CASE WHEN ln((nr - df + 0.5) / (df + 0.5)) <= 0 THEN 1e
 SELECT doc_id AS id, round(score, 6) AS score FROM s WHERE hits > 0 ORDER BY s.score DESC, id LIMIT {limit}"""
 
 
+def ranked_documents(spark, d, phrases, limit=80):
+    """BM25 over all documents, from an index that the session makes once."""
+    return lexical.bm25(*indexed(spark, f"{d}/documents.parquet", "doc_id", ("text",)), phrases, limit)
+
+
 @query("bm25_topk", bm25_sql(TERMS, 80))
 def bm25_topk(spark, d):
-    return lexical.bm25(table(spark, d, "documents"), "doc_id", ["text"], TERMS, 80).select("id", F.round("score", 6).alias("score"))
+    return ranked_documents(spark, d, TERMS).select("id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_phrase", bm25_sql(PHRASES, 80))
 def bm25_phrase(spark, d):
-    return lexical.bm25(table(spark, d, "documents"), "doc_id", ["text"], PHRASES, 80).select("id", F.round("score", 6).alias("score"))
+    return ranked_documents(spark, d, PHRASES).select("id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_scan", bm25_sql(PHRASES, 80))
+def bm25_scan(spark, d):
+    # Rows that no index has yet are ranked from their texts in one pass and a one-row aggregate.
+    hits = written(lexical.scanned(table(spark, d, "documents"), "doc_id", ["text"], PHRASES), "hits")
+    return lexical.scored(hits, lexical.totals(hits), len(PHRASES), 80).select("id", F.round("score", 6).alias("score"))
 
 
 def query_vector(spark, d) -> list[float]:
@@ -84,7 +98,7 @@ def embed_hash(spark, d):
 
 # Lexical and semantic ranks over documents and vectors that share their ids.
 def seeds(spark, d):
-    lex = ranking.ranks(lexical.bm25(table(spark, d, "documents"), "doc_id", ["text"], TERMS, 80)).select(F.lit("fts").alias("source"), "id", "rank")
+    lex = ranking.ranks(ranked_documents(spark, d, TERMS)).select(F.lit("fts").alias("source"), "id", "rank")
     near = vector.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", query_vector(spark, d))
     sem = ranking.ranks(near.select(F.col("vec_id").alias("id"), F.round("similarity", 9).alias("score"))).select(F.lit("semantic").alias("source"), "id", "rank")
     exact = spark.createDataFrame([("exact", 7, 1)], "source string, id long, rank int")
@@ -126,14 +140,14 @@ def auto_zoom(spark, d):
 @query("pack_prefix", f"SELECT id, rank, size, running FROM (SELECT *, CAST(sum(size) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM (SELECT b.id, row_number() OVER (ORDER BY b.score DESC, b.id) AS rank, CAST(octet_length(encode(left(text, 600))) AS BIGINT) AS size FROM ({bm25_sql(TERMS, 80).replace('round(score, 6) AS score', 'score')}) b JOIN documents ON doc_id = b.id)) WHERE running <= 16000")
 def pack_prefix(spark, d):
     docs = table(spark, d, "documents")
-    found = ranking.ranks(lexical.bm25(docs, "doc_id", ["text"], TERMS, 80)).join(docs.select(F.col("doc_id").alias("id"), F.octet_length(F.substring("text", 1, 600)).cast("long").alias("size")), "id")
+    found = ranking.ranks(ranked_documents(spark, d, TERMS)).join(docs.select(F.col("doc_id").alias("id"), F.octet_length(F.substring("text", 1, 600)).cast("long").alias("size")), "id")
     return ranking.pack_prefix(found.select("id", "rank", "size"), 16000)
 
 
 @query("pack_exact")
 def pack_exact(spark, d):
     docs = table(spark, d, "documents")
-    found = ranking.ranks(lexical.bm25(docs, "doc_id", ["text"], TERMS, 80)).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    found = ranking.ranks(ranked_documents(spark, d, TERMS)).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     rows = found.orderBy("rank").select("id", "rank", "text").collect()  # at most 80 rows behind the top-k
     out = ranking.pack([{"id": r[0], "rank": r[1], "content": r[2]} for r in rows], 4000, mode="fts")
     return spark.createDataFrame([(i["id"], i["rank"], len(i["content"]), bool(i.get("truncated"))) for i in out["items"]], "id long, rank int, n_chars int, truncated boolean")

@@ -17,7 +17,7 @@ MAX_FILE_BYTES = 400_000
 PREVIEW_CHARS = 600
 INDEXED_CHARS = 1200
 LEXICAL_LIMIT, EXACT_LIMIT, SEMANTIC_LIMIT, SEEDS, SPREAD_LIMIT, NEIGHBOR_LIMIT, IMPACT_LIMIT = 80, 30, 20, 8, 80, 80, 200
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 ANCHOR = T.StructType(
     [T.StructField("path", T.StringType()), T.StructField("span_hash", T.StringType()), T.StructField("file_hash", T.StringType()), T.StructField("symbol", T.StringType()), T.StructField("start_line", T.IntegerType())]

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import gate
-from corpusgraph.functions.text import extension_language
+from corpusgraph.functions.text import content_hash, extension_language, folded
 from corpusgraph.operators import drift, edges, graph, lexical, memory, ranking, vector
-from corpusgraph.operators.parse import parse_imports, parse_symbols
+from corpusgraph.operators.parse import STATEMENTS, parse_files
 from corpusgraph.plans.lineage import written
 from corpusgraph.plans.search import hybrid
 from corpusgraph.plans.store import Store
 from corpusgraph.schema import EDGE_WEIGHTS, EXACT_LIMIT, LEXICAL_LIMIT, MEMORY, PREVIEW_CHARS
 from corpusgraph.sources.config import FOLDER, index_options, scaffold
-from corpusgraph.sources.files import repository_files
+from corpusgraph.sources.files import confined, contents, decoded, repository_files, text_only
 from corpusgraph.sources.history import changed_ranges, history_marker
 from corpusgraph.streaming.watch import watch
 
@@ -30,12 +31,16 @@ class AmbiguousError(ValueError):
 
 
 class Project:
-    """The graph of the files below ``root``; tables live in a hidden folder there."""
+    """The graph of the files below ``root``.
 
-    def __init__(self, spark: SparkSession, root: str, *, embed=None, model: str = "hash-16"):
+    Tables live in a hidden folder there, or in ``store``, any folder that Spark can write to. On
+    a cluster ``root`` is on a file system that all executors share.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, *, store: str | None = None, embed=None, model: str = "hash-16"):
         self.spark, self.root = spark, os.path.realpath(root)
-        self.store = Store(spark, os.path.join(self.root, FOLDER, "store"))
-        self.embed_with, self.model = embed, model
+        self.store = Store(spark, store or "file://" + os.path.join(self.root, FOLDER, "store"))
+        self.embed_with, self.model, self._seen = embed, model, {}
 
     # -- building ---------------------------------------------------------------------
 
@@ -47,7 +52,7 @@ class Project:
         rows = repository_files(self.spark, self.root, include=o["include"], exclude=o["exclude"], max_bytes=o["max_bytes"])
         return rows.withColumn("label", gate.label(F.col("path"), F.col("content"), o["allow"])).withColumn("language", extension_language(F.col("path")))
 
-    def _nodes(self, files: DataFrame, now: float) -> DataFrame:
+    def _nodes(self, files: DataFrame, parsed: DataFrame, now: float) -> DataFrame:
         """File and symbol nodes; gated files keep no content."""
         key = lambda *parts: F.substring(F.sha2(F.concat_ws("/", *parts), 256), 1, 20)
         open_ = F.col("label") != gate.SECRET
@@ -56,7 +61,8 @@ class Project:
             F.when(open_, F.substring("content", 1, PREVIEW_CHARS)).alias("preview"), F.when(open_, F.col("content")).alias("body"), F.col("file_hash").alias("span_hash"), F.lit(None).cast("string").alias("body_hash"),
             F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.array().cast("array<string>").alias("calls"), F.lit(now).alias("updated_at"),
         )
-        symbols = drift.last_per_key(parse_symbols(files.filter(open_)), ["path", "qualname"], "start_line").join(files.select("path", "label"), "path")
+        found = parsed.select(F.explode("symbols").alias("s")).select("s.*")
+        symbols = drift.last_per_key(found, ["path", "qualname"], "start_line").join(files.filter(open_).select("path", "label"), "path")
         kind = F.when(F.col("is_test"), "test").otherwise("symbol")
         symbol_nodes = symbols.select(
             F.concat(F.substring(kind, 1, 4), F.lit("_"), key(F.lit("symbol"), "path", "qualname")).alias("id"), kind.alias("kind"), "name", "qualname", "path", "label",
@@ -64,15 +70,15 @@ class Project:
         )
         return file_nodes.unionByName(symbol_nodes)
 
-    def _edges(self, nodes: DataFrame, files: DataFrame) -> DataFrame:
-        """All structural edges: a pure function of the nodes, the files and the history."""
+    def _edges(self, nodes: DataFrame, statements: DataFrame) -> DataFrame:
+        """All structural edges: a pure function of the nodes, the import statements and the history."""
         syms, file_nodes = nodes.filter("kind <> 'file'"), nodes.filter("kind = 'file'")
         ids = file_nodes.select(F.col("path").alias("p"), F.col("id").alias("file_id"))
         defines = edges.defines(syms.join(ids, F.col("path") == F.col("p")).select("file_id", "id"))
         names = syms.select("id", F.explode(F.array_distinct(F.array("name", "qualname"))).alias("name"))
         calls = edges.calls(syms.select(F.col("id").alias("caller"), F.explode("calls").alias("callee")), names)
         tested = edges.tested_by(syms.filter("kind = 'test'").select("id", "name"), syms.filter("kind = 'symbol'").select("id", "name"))
-        by_path = edges.imports(parse_imports(files.filter(F.col("label") != gate.SECRET)), files.select("path"))
+        by_path = edges.imports(statements, file_nodes.select("path"))
         a, b = ids.select(F.col("p").alias("src"), F.col("file_id").alias("s")), ids.select(F.col("p").alias("dst"), F.col("file_id").alias("t"))
         imports = by_path.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"), "kind", "weight")
         cols = ["src", "dst", "kind", "weight"]
@@ -100,18 +106,31 @@ class Project:
         policy, marker = f"{POLICY}:{sorted(o['allow'])}", history_marker(self.root)
         fresh = full or old_files is None or self.store.meta("policy") != policy
         changed = files if fresh else drift.changed(files, old_files)
-        n_changed, n_removed = changed.count(), 0 if old_files is None else drift.removed(files, old_files).count()
-        stats = {"files": files.count(), "changed": n_changed, "removed": n_removed, "gated": files.filter(F.col("label") == gate.SECRET).count()}
+        counts = files.agg(F.count(F.lit(1)), F.count_if(F.col("label") == gate.SECRET)).first()
+        n_changed, n_gated = changed.agg(F.count(F.lit(1)), F.count_if(F.col("label") == gate.SECRET)).first()
+        n_removed = 0 if old_files is None else drift.removed(files, old_files).count()
+        stats = {"files": counts[0], "changed": n_changed, "removed": n_removed, "gated": counts[1], "unparsed": 0}
         if n_changed or n_removed or self.store.meta("history") != marker:
-            made = self._nodes(changed, now)
-            nodes = made if fresh or old_nodes is None else old_nodes.join(drift.unchanged(files, old_files).select("path"), "path", "left_semi").select(*made.columns).unionByName(made)
-            nodes = written(nodes, "nodes")
-            links = written(self._edges(nodes, files), "edges")
-            tables = {"files": files.drop("content"), "nodes": nodes, "edges": links}
+            # Only changed files are parsed, once; rows of the others are carried over by path.
+            parsed = written(parse_files(changed.filter(F.col("label") != gate.SECRET)), "parsed")
+            stats["unparsed"] = parsed.filter("failed").count()
+            made = written(self._nodes(changed, parsed, now), "made")
+            statements = parsed.select(F.explode("imports").alias("s")).select("s.*")
+            index = lexical.inverted(made.filter(F.col("label") != gate.SECRET).select("id", "name", F.col("preview").alias("content")), "id", ["name", "content"])
+            nodes = made
+            if not fresh and old_nodes is not None:
+                same = drift.unchanged(files, old_files).select("path")
+                kept = old_nodes.join(same, "path", "left_semi").select(*made.columns)
+                nodes = kept.unionByName(made)
+                statements = statements.unionByName(self.store.read("imports").join(same.withColumnRenamed("path", "src_path"), "src_path", "left_semi").select(*STATEMENTS.names))
+                index = index.unionByName(self.store.read("postings").join(kept.select("id"), "id", "left_semi").select(*index.columns))
+            nodes, statements = written(nodes, "nodes"), written(statements, "imports")
+            index = written(lexical.laid_out(index), "postings")
+            tables = {"files": files.drop("content"), "nodes": nodes, "imports": statements, "edges": self._edges(nodes, statements), "postings": index.sortWithinPartitions("token", "id"), "lengths": index.select("id", "n_tokens").distinct()}
             log = self.store.read("memories")
             if log is not None:
                 tables["memories"] = written(self._moved(log, old_nodes, nodes, now), "memories")
-            self.store.commit(tables, {"policy": policy, "history": marker, "last_indexed_at": now, "root": self.root})
+            self.store.commit(tables, {"policy": policy, "history": marker, "last_indexed_at": now, "root": self.root}, purge=n_gated > 0)
         stats |= {"nodes": self._table("nodes").count(), "edges": self._table("edges").count(), "seconds": round(time.time() - began, 3)}
         return stats
 
@@ -143,12 +162,41 @@ class Project:
     def _all(self) -> DataFrame:
         """Structural nodes and memories in one shape, with what search needs."""
         nodes = self._table("nodes").filter(F.col("label") != gate.SECRET)
-        rows = nodes.select("id", "kind", "name", "qualname", "path", F.col("preview").alias("content"), "body", F.lit("fresh").alias("state"), F.lit(False).alias("pinned"), "updated_at")
+        rows = nodes.select("id", "kind", "name", "qualname", "path", F.when(F.col("kind") != "file", F.col("qualname")).alias("symbol"), "span_hash", F.col("preview").alias("content"), "body", F.lit("fresh").alias("state"), F.lit(False).alias("pinned"), "updated_at")
         found = self._memories()
         if found is not None:
-            rows = rows.unionByName(found.select("id", "kind", "name", F.lit(None).cast("string").alias("qualname"), "path", "content", F.col("content").alias("body"), "state", F.coalesce("pinned", F.lit(False)).alias("pinned"), "updated_at"))
+            rows = rows.unionByName(found.select("id", "kind", "name", F.lit(None).cast("string").alias("qualname"), "path", "symbol", "span_hash", "content", F.col("content").alias("body"), "state", F.coalesce("pinned", F.lit(False)).alias("pinned"), "updated_at"))
         return rows
 
+    def _look(self, paths) -> None:
+        """Bring what is known of these files up to date: label, hash, text and symbols as of now.
+
+        Files are looked at together, by executors, when their size or time differs from what was
+        last seen; at most as many as a search ranks.
+        """
+        stamps = {}
+        for p in confined(self.root, sorted({p for p in paths if p})):
+            try:
+                at = os.stat(os.path.join(self.root, p))
+                stamps[p] = (at.st_size, at.st_mtime_ns)
+            except OSError:
+                continue
+        for p in set(paths) - set(stamps):
+            self._seen[p] = (None, {"gone": True, "secret": False})
+        fresh = [(p,) for p, at in stamps.items() if self._seen.get(p, (None,))[0] != at]
+        if not fresh:
+            return
+        o = index_options(self.root)
+        read = text_only(contents(self.spark.createDataFrame(fresh, "path string"), self.root, o["max_bytes"]))
+        files = written(read.select("path", decoded(F.col("content")).alias("content"), content_hash(F.col("content")).alias("hash")).withColumn("label", gate.label(F.col("path"), F.col("content"), o["allow"])), "seen")
+        views = {p: {"gone": True, "secret": False} for (p,) in fresh}
+        shown = files.filter(F.col("label") != gate.SECRET)
+        for r in files.filter(F.col("label") == gate.SECRET).select("path").collect():
+            views[r[0]] = {"gone": False, "secret": True}
+        for r in shown.select("path", "content", "hash").join(parse_files(shown).select("path", "symbols"), "path").collect():
+            views[r["path"]] = {"gone": False, "secret": False, "hash": r["hash"], "text": r["content"], "symbols": {s["qualname"]: s for s in r["symbols"]}}
+        self._seen.update({p: (stamps[p], v) for p, v in views.items()})
+
     def resolve(self, target: str) -> dict:
         """The one node that a node id, path, path::symbol or name means."""
         path, mark, name = target.rpartition("::")
@@ -159,21 +207,50 @@ class Project:
         if hit is None:
             raise LookupError(f"not found: {target}")
         if hit["n_matches"] > 1:
-            raise AmbiguousError("ambiguous symbol; use path::symbol or a node id")
+            raise AmbiguousError(f"{hit['n_matches']} nodes answer to {target}; name one by its id or as path::name")
         return nodes.filter(F.col("id") == hit["id"]).first().asDict()
 
     def _item(self, row: dict, zoom: str) -> dict:
+        """What is shown of a row: state and content come from the file as it is now."""
         if zoom not in {"auto", "L0", "L1", "L2", "L3"}:
             raise ValueError("zoom must be auto, L0, L1, L2 or L3")
         is_symbol = row["kind"] in ("symbol", "test")
         level = ("L2" if is_symbol else "L1") if zoom == "auto" else zoom
-        body = row["body"] or ""
-        content = {"L0": f"{row['path']}: {row['qualname'] or row['name']}", "L1": body.split("\n", 1)[0] if is_symbol else body[:PREVIEW_CHARS]}.get(level, body)
-        if level == "L3" and row["path"]:
-            whole = self._table("nodes").filter((F.col("path") == row["path"]) & (F.col("kind") == "file")).select("body").first()
-            content = whole[0] if whole and whole[0] is not None else body
+        state, content, warning = row["state"], row["body"] or "", None
+        if row["path"]:
+            self._look([row["path"]])
+            view = self._seen[row["path"]][1]
+            if view["secret"]:
+                raise PermissionError("the gate refuses this content")
+            now = None
+            if not view["gone"]:
+                now = view["symbols"].get(row["symbol"]) if row["symbol"] else {"span_hash": view["hash"]}
+            if state == "fresh" and (now is None or now["span_hash"] != row["span_hash"]):
+                state, warning = "stale", "the file is gone or can't be read" if view["gone"] else "changed since it was indexed"
+            if row["kind"] not in MEMORY:
+                content = self._shown(row, view, level, is_symbol)
         location = f"{row['path']}::{row['qualname']}" if row["path"] and row["qualname"] else row["path"] or row["name"]
-        return {"id": row["id"], "location": location, "kind": row["kind"], "state": row["state"], "trust_label": "untrusted", "zoom": level, "content": content, "pinned": bool(row["pinned"])}
+        item = {"id": row["id"], "location": location, "kind": row["kind"], "state": state, "trust_label": "untrusted", "zoom": level, "content": content, "pinned": bool(row["pinned"])}
+        return {**item, "warning": warning} if warning else item
+
+    @staticmethod
+    def _shown(row: dict, view: dict, level: str, is_symbol: bool) -> str:
+        if view["gone"]:
+            return ""
+        heads = [s["body"].split("\n", 1)[0] for s in view["symbols"].values()]
+        if level == "L0":
+            return f"{row['path']}: {row['qualname'] or ', '.join(view['symbols']) or row['name']}"
+        if level == "L3":
+            return view["text"]
+        if is_symbol:
+            body = view["symbols"][row["symbol"]]["body"] if row["symbol"] in view["symbols"] else ""
+            return body.split("\n", 1)[0] if level == "L1" else body
+        return "\n".join(heads) or view["text"][:PREVIEW_CHARS]
+
+    def _items(self, rows: list[dict], zoom: str) -> list[dict]:
+        """Items of rows, without those that the gate refuses by now."""
+        self._look([r["path"] for r in rows if r["path"]])
+        return [self._item(r, zoom) for r in rows if not (r["path"] and self._seen[r["path"]][1]["secret"])]
 
     def _rows(self, ids: list[str]) -> dict[str, dict]:
         wanted = self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -190,13 +267,13 @@ class Project:
         if kind == "memory" and self._memories() is None:
             return ranking.pack([], budget, mode=mode)
         phrases = [p for p in ([w for w in _folded(t)] for t in lexical.query_tokens(query)) if p]
-        found = ranking.ranks(lexical.bm25(rows, "id", ["name", "content"], phrases, LEXICAL_LIMIT)) if phrases else None
+        found = ranking.ranks(self._lexical(phrases)) if phrases else None
         seeds = [found.select(F.lit("fts").alias("source"), "id", "rank")] if found is not None else []
         seeds.append(self._exact(rows, query))
         if semantic:
             near = self._nearest(query)
             if near is None:
-                warnings.append("semantic retrieval unavailable; using words and graph")
+                warnings.append("no vectors of this model are stored; ranked by words and links alone")
             else:
                 seeds.append(near)
                 mode = "semantic+fts+graph"
@@ -205,10 +282,11 @@ class Project:
         links = self._table("edges").unionByName(self._about())
         ranked = hybrid(seeds, links, nodes, F.timestamp_seconds(F.lit(now)), hops=max_hops).limit(2 * LEXICAL_LIMIT + EXACT_LIMIT).collect()
         by_id = self._rows([r["id"] for r in ranked]) if ranked else {}
+        self._look([r["path"] for r in by_id.values() if r["path"]])
         items = []
         for r in ranked:
             row = by_id.get(r["id"])
-            if row is None or (kind == "memory" and row["kind"] not in MEMORY) or (kind not in (None, "memory") and row["kind"] != kind):
+            if row is None or (row["path"] and self._seen[row["path"]][1]["secret"]) or (kind == "memory" and row["kind"] not in MEMORY) or (kind not in (None, "memory") and row["kind"] != kind):
                 continue
             items.append({**self._item(row, zoom), "score": round(r["score"], 6), "provenance": {"source": "repository", "via": r["via"]}})
         if zoom == "auto" and len(items) > 1:
@@ -216,6 +294,15 @@ class Project:
             items = [{**i, **self._item(by_id[i["id"]], "L1")} if i["zoom"] == "L2" and ranking.octet_bound(i) > most else i for i in items]
         return ranking.pack(items, budget, mode=mode, warnings=warnings)
 
+    def _lexical(self, phrases: list[list[str]]) -> DataFrame:
+        """BM25 from the stored index; memories, which aren't in it, are few and counted as they are."""
+        hits, sizes = lexical.hits_of(self._table("postings"), phrases), self._table("lengths")
+        found = self._memories()
+        if found is not None:
+            live = written(lexical.scanned(found, "id", ["name", "content"], phrases), "memory-hits")
+            hits, sizes = hits.unionByName(live.select(*hits.columns)), sizes.unionByName(live.select("id", "n_tokens"))
+        return lexical.scored(hits, lexical.totals(sizes), len(phrases), LEXICAL_LIMIT)
+
     def _exact(self, rows: DataFrame, query: str) -> DataFrame:
         if "::" in query:
             try:
@@ -269,14 +356,16 @@ class Project:
         node = self.resolve(target)
         hits = graph.neighbors(self._table("edges").unionByName(self._about()), node["id"], [edge] if edge else None, reverse).collect()
         rows = self._rows([h["id"] for h in hits]) if hits else {}
-        items = [{**self._item(rows[h["id"]], "L1"), "provenance": {"source": "graph", "from": node["id"], "edge": h["kind"], "reverse": reverse}} for h in hits if h["id"] in rows]
+        shown = {i["id"]: i for i in self._items(list(rows.values()), "L1")}
+        items = [{**shown[h["id"]], "provenance": {"source": "graph", "from": node["id"], "edge": h["kind"], "reverse": reverse}} for h in hits if h["id"] in shown]
         return ranking.pack(items, budget, mode="neighbors")
 
     def impact(self, target: str, *, depth: int = 2, tests_only: bool = False, budget: int = 4000) -> dict:
         node = self.resolve(target)
         hits = graph.reach(graph.impact_edges(self._table("edges")), node["id"], depth).collect()
         rows = self._rows([h["id"] for h in hits]) if hits else {}
-        items = [{**self._item(rows[h["id"]], "L1"), "provenance": {"source": "reverse-dependencies", "path": list(h["path"])}} for h in hits if h["id"] in rows and (not tests_only or rows[h["id"]]["kind"] == "test")]
+        shown = {i["id"]: i for i in self._items(list(rows.values()), "L1")}
+        items = [{**shown[h["id"]], "provenance": {"source": "reverse-dependencies", "path": list(h["path"])}} for h in hits if h["id"] in shown and (not tests_only or rows[h["id"]]["kind"] == "test")]
         return ranking.pack(items, budget, mode="impact", warnings=["Calls are linked by name; this is not a complete dependency analysis."])
 
     def why(self, topic: str, **options) -> dict:
@@ -302,7 +391,8 @@ class Project:
     def verify(self) -> dict:
         """How many anchored nodes and memories still match the files as they are now."""
         files = written(self._files(), "live")
-        now = written(self._nodes(files, time.time()), "live")
+        parsed = written(parse_files(files.filter(F.col("label") != gate.SECRET)), "live-parsed")
+        now = written(self._nodes(files, parsed, time.time()), "live")
         current = now.select("path", F.when(F.col("kind") == "file", F.lit(None).cast("string")).otherwise(F.col("qualname")).alias("symbol"), F.when(F.col("label") != gate.SECRET, F.col("span_hash")).alias("span_hash"))
         nothing = F.lit(None).cast("string")
         held = self._table("nodes").filter(F.col("label") != gate.SECRET).select("id", "path", F.when(F.col("kind") == "file", nothing).otherwise(F.col("qualname")).alias("symbol"), "span_hash", nothing.alias("moved_from"), F.lit("fresh").alias("state"))
@@ -324,14 +414,26 @@ class Project:
             held = self._table("nodes").filter(F.col("id") == node["id"]).first()
             if held is None:
                 raise ValueError("memories can't be anchored to memories")
+            if self._item(node, "L0")["state"] != "fresh":
+                raise ValueError("the anchor has changed since it was indexed; index first")
             place = {"path": held["path"], "symbol": held["qualname"], "span_hash": held["span_hash"]}
         row = memory.memory_row(kind, content, origin=origin, anchor=place, secret=secret)
-        self._append(memory.rows(self.spark, [row]))
+        # The write itself is an episode that the memory is derived from.
+        episode = self.spark.createDataFrame([(memory.new_id("epis"), "episode", "memory write", origin, row[0], row[-2])], "id string, kind string, name string, origin string, memory string, created_at double")
+        old = self.store.read("episodes")
+        self._append(memory.rows(self.spark, [row]), {"episodes": written(episode if old is None else old.unionByName(episode), "episodes")})
         return row[0]
 
-    def _append(self, rows: DataFrame) -> None:
+    def derived_from(self) -> DataFrame:
+        """Edges from memories to the episodes that wrote them; they are never walked."""
+        held = self.store.read("episodes")
+        if held is None:
+            return self.spark.createDataFrame([], "src string, dst string, kind string, weight double")
+        return held.select(F.col("memory").alias("src"), F.col("id").alias("dst"), F.lit("derived_from").alias("kind"), F.lit(EDGE_WEIGHTS["derived_from"]).alias("weight"))
+
+    def _append(self, rows: DataFrame, others: dict[str, DataFrame] | None = None) -> None:
         log = self.store.read("memories")
-        self.store.commit({"memories": written(rows if log is None else log.unionByName(rows), "memories")})
+        self.store.commit({"memories": written(rows if log is None else log.unionByName(rows), "memories"), **(others or {})})
 
     def recall(self, memory_id: str) -> dict:
         row = self.resolve(memory_id)
@@ -366,8 +468,8 @@ class Project:
         for ref in hit["pinned"]:
             try:
                 items.append(self._item(self.resolve(ref), "auto"))
-            except (LookupError, ValueError):
-                warnings.append("a pinned item is missing or ambiguous")
+            except (LookupError, ValueError, PermissionError):
+                warnings.append("a pinned item is missing, ambiguous or refused")
         seen = {i["id"] for i in items}
         items += [i for i in self.search(hit["query"], budget=100_000)["items"] if i["id"] not in seen]
         return ranking.pack(items, budget, mode="context", warnings=list(dict.fromkeys(warnings)))
@@ -382,8 +484,4 @@ class Project:
 
 
 def _folded(token: str) -> list[str]:
-    import re
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", token.lower()) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", plain)
+    return re.findall(r"[^\W_]+", folded(token))

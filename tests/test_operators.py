@@ -3,16 +3,18 @@
 import json
 import random
 import sqlite3
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import gate, text
-from corpusgraph.operators import edges, lexical, memory, ranking
+from corpusgraph.operators import edges, lexical, memory, parse, ranking
 from corpusgraph.operators.parse import brace_symbols, import_candidates, language_of, python_symbols, symbols_of
 from corpusgraph.plans.store import Store
 from corpusgraph.sources.config import index_options, parse_yaml, scaffold
-from corpusgraph.sources.history import parse_hunks
+from corpusgraph.sources.files import listing, repository_files
+from corpusgraph.sources.history import patch_lines, ranges_of
 
 PY = '''import os
 from .util import helper
@@ -124,7 +126,12 @@ def test_bm25_equals_fts5(spark):
     con.executemany("INSERT INTO f(rowid, name, content) VALUES (?, ?, ?)", [(i + 1, n, c) for i, n, c in rows])
     want = {r[0] - 1: -r[1] for r in con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH '\"alpha\" OR \"beta gamma\" OR \"zeta\"'")}
     df = spark.createDataFrame(rows, "id int, name string, content string")
-    got = {r.id: r.score for r in lexical.bm25(df, "id", ["name", "content"], [["alpha"], ["beta", "gamma"], ["zeta"]]).collect()}
+    phrases, cols = [["alpha"], ["beta", "gamma"], ["zeta"]], ["name", "content"]
+    index = lexical.laid_out(lexical.inverted(df, "id", cols))
+    got = {r.id: r.score for r in lexical.bm25(index, lexical.lengths(df, "id", cols), phrases).collect()}
+    hits = lexical.scanned(df, "id", cols, phrases)
+    by_scan = {r.id: r.score for r in lexical.scored(hits, lexical.totals(hits), 3).collect()}
+    assert by_scan.keys() == want.keys() and all(abs(by_scan[k] - want[k]) < 1e-9 for k in want)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
@@ -188,22 +195,121 @@ def test_scaffold_keeps_what_exists(tmp_path):
     assert parse_yaml("version: 1\nindex:\n  exclude:\n    - a/*\n    - 'b'\n") == {"version": 1, "index": {"exclude": ["a/*", "b"]}}
 
 
-def test_hunks():
-    log = "COMMIT:a1\n+++ b/x.py\n@@ -1,2 +3,4 @@ def\n@@ -9 +9,0 @@\n+++ /dev/null\n@@ -1 +1 @@\nCOMMIT:b2\n@@ -1 +1 @@\n"
-    assert parse_hunks(log) == [("a1", "x.py", 3, 6), ("a1", "x.py", 9, 9)]
+def test_ranges_of_patches(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    (tmp_path / "x.py").write_text("".join(f"line {i}\n" for i in range(1, 11)))
+    (tmp_path / "gone é.txt").write_text("++ b/fake\n")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    (tmp_path / "x.py").write_text("".join(f"line {i}\n" for i in (1, 2, 30, 31, 4, 5, 6, 7, 9, 10)))
+    (tmp_path / "gone é.txt").unlink()
+    git("add", "-A")
+    git("commit", "-qm", "two")
+    second, first = git("rev-list", "HEAD").split()
+    got = sorted((r.commit == first, r.path, r.start, r.end) for r in ranges_of(patch_lines(spark, str(tmp_path), [first, second])).collect())
+    assert got == [(False, "x.py", 3, 4), (False, "x.py", 8, 8), (True, "gone é.txt", 1, 1), (True, "x.py", 1, 10)]
+    assert ranges_of(patch_lines(spark, str(tmp_path), [])).count() == 0
 
 
 def test_store_commits_whole_versions(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     s.commit({"a": spark.range(3)}, {"k": 1})
+    held = s.read("a")
     s.commit({"b": spark.range(2)})
     assert (s.read("a").count(), s.read("b").count(), s.meta("k"), s.read("c")) == (3, 2, 1, None)
-    assert not (tmp_path / "s" / "v1").exists()
-    (tmp_path / "s" / "_CURRENT").write_text('{"version": 9, "schema": 99, "meta": {}}')
+    s.commit({"a": spark.range(5)})
+    assert held.count() == 3  # readers of an older version keep it
+    s.commit({"a": spark.range(6)}, purge=True)
+    assert len(list((tmp_path / "s" / "tables").iterdir())) == 2 and s.read("a").count() == 6
+    (tmp_path / "s" / "manifest-9999999999").write_text('{"version": 9999999999, "schema": 99, "tables": {}, "meta": {}}')
     with pytest.raises(ValueError):
         s.read("a")
 
 
+def test_writers_of_one_version_both_commit(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    create, raced = one._create, []
+
+    def late(name, state):
+        if not raced:
+            raced.append(two.commit({"b": spark.range(2)}))
+        return create(name, state)
+
+    one._create = late
+    assert one.commit({"a": spark.range(1)}) == 2 and raced == [1]
+    assert one.read("a").count() == 1 and one.read("b").count() == 2
+
+
+def test_store_refuses_secret_content(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    rows = "id string, label string, body string, calls array<string>"
+    with pytest.raises(ValueError):
+        s.commit({"nodes": spark.createDataFrame([("a", "secret", "x", [])], rows)})
+    with pytest.raises(ValueError):
+        s.commit({"nodes": spark.createDataFrame([("a", "secret", None, ["f"])], rows)})
+    assert s.read("nodes") is None and not list((tmp_path / "s" / "tables").iterdir())
+    s.commit({"nodes": spark.createDataFrame([("a", "secret", None, []), ("b", "repo:private", "x", ["f"])], rows)})
+    assert s.read("nodes").count() == 2
+
+
+def test_older_store_is_read(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "v3" / "a"))
+    (tmp_path / "_CURRENT").write_text('{"version": 3, "schema": 1, "meta": {"k": 7}}')
+    s = Store(spark, str(tmp_path))
+    assert (s.read("a").count(), s.meta("k")) == (4, 7)
+    s.commit({"b": spark.range(1)})
+    assert (s.read("a").count(), s.read("b").count(), s.state["version"], s.meta("k")) == (4, 1, 4, 7)
+
+
+def test_listing_loses_nothing_and_leaks_nothing(spark, tmp_path):
+    root, outside = tmp_path / "root", tmp_path / "outside"
+    for p in ("pkg/__init__.py", "pkg/_private.py", ".env", ".github/w.yml", "a.py", "node_modules/m/x.js", "empty.txt", "big.txt", "nul.bin", "latin.txt"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text("x = 1\n")
+    outside.mkdir()
+    (outside / "o.py").write_text("secret")
+    (root / "link").symlink_to(outside)
+    (root / "o.py").symlink_to(outside / "o.py")
+    (root / "alias.py").symlink_to(root / "a.py")
+    (root / "empty.txt").write_text("")
+    (root / "big.txt").write_text("y" * 2000)
+    (root / "nul.bin").write_bytes(b"a\x00b")
+    (root / "latin.txt").write_bytes(b"caf\xe9 ol\xe9\n")
+    want = {".env", ".github/w.yml", "a.py", "alias.py", "latin.txt", "pkg/__init__.py", "pkg/_private.py"}
+    for in_git in (False, True):
+        if in_git:
+            subprocess.run(["git", "-C", str(root), "init", "-q"], check=True)
+        rows = {r.path: r for r in repository_files(spark, str(root), max_bytes=1000).collect()}
+        assert set(rows) == want
+        assert rows["latin.txt"].content == "caf\ufffd ol\ufffd\n" and rows["latin.txt"].size == 9
+    assert {r.path for r in repository_files(spark, str(root), include=("*.py",), exclude=("pkg/*",), max_bytes=1000).collect()} == {"a.py", "alias.py"}
+    opened = []
+    assert [r.path for r in listing(spark, str(root), exclude=("*.txt", "*.bin")).select("path").collect() if "node_modules" in r.path] == opened
+
+
+def test_folding_is_the_same_on_both_sides(spark):
+    words = ["Dvořák", "ÉTÉ", "Ångström", "Łódź", "ñandú", "Ελλάδα", "naïve", "e\u0301te"]
+    rows = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.fold(F.col("w"))).collect()]
+    assert rows == [text.folded(w) for w in words] and rows[0] == "dvorak" and rows[-1] == "ete"
+
+
+def test_covers_equal_brute_force(spark):
+    rng = random.Random(8)
+    spans = [(rng.choice("ab"), i, s := rng.randint(-20, 200), s + rng.choice([0, 0, 1, 3, 16, 100, -1])) for i in range(120)]
+    points = list({(rng.choice("ab"), rng.randint(-25, 310)) for _ in range(150)})
+    got = sorted((r.k, r["at"], r.span_id) for r in edges.covers(spark.createDataFrame(points, "k string, at long"), spark.createDataFrame(spans, "k string, span_id int, start long, end long"), "k").collect())
+    assert got == sorted((k, at, i) for k, at in points for q, i, s, e in spans if q == k and s <= at <= e)
+
+
+def test_lifetimes_patterns_and_strings_hide_no_scope():
+    rust = "impl<'a> Foo<'a> { fn bar(&'a self) { let c = '{'; baz(c) } }\nimpl<'a, T: Clone> fmt::Display for Wrap<'a, T> { fn fmt(&self) { qux() } }\n"
+    assert [(s["qualname"], s["calls"]) for s in parse.symbols_of("a.rs", rust)[0]] == [("Foo.bar", ["baz"]), ("Wrap.fmt", ["qux"])]
+    ts = 'export function f(a) { const r = /[{}]\\/"/g; return g(a / 2) }\nfunction z() { if (a.match(/\\{/)) { y() } }\n'
+    assert [(s["qualname"], s["start_line"], s["end_line"]) for s in parse.symbols_of("a.ts", ts)[0]] == [("f", 1, 1), ("z", 2, 2)]
+    assert parse.parsed("a.py", "def (")[2] and not parse.parsed("a.txt", "def (")[2]
+
+
 def test_memory_rules():
     with pytest.raises(PermissionError):
         memory.memory_row("constraint", "x", origin="agent")

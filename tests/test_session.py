@@ -124,3 +124,46 @@ def test_watch(spark, tmp_path):
     q = p.watch(str(tmp_path / ".corpusgraph/stream"), every=None)
     q.awaitTermination(120)
     assert q.exception() is None and p.resolve("a.py::a")["kind"] == "symbol"
+
+
+def test_state_is_that_of_the_file_as_it_is_now(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def alpha():\n    return 1\n\n\ndef beta():\n    return 2\n")
+    (tmp_path / "b.py").write_text("def gamma():\n    return 3\n")
+    p = Project(spark, str(tmp_path))
+    p.index()
+    assert p.expand("alpha")["items"][0]["state"] == "fresh"
+    (tmp_path / "a.py").write_text("def beta():\n    return 2\n\n\ndef alpha():\n    return 10\n")
+    shown = p.expand("alpha")["items"][0]
+    assert shown["state"] == "stale" and "return 10" in shown["content"] and shown["warning"]
+    assert p.expand("beta")["items"][0]["state"] == "fresh"
+    with pytest.raises(ValueError):
+        p.remember("decision", "Keep it.", anchor="a.py::alpha")
+    m = p.remember("decision", "Keep beta.", anchor="a.py::beta")
+    assert [r.dst[:5] for r in p.derived_from().filter(f"src = '{m}'").collect()] == ["epis_"]
+    (tmp_path / "a.py").write_text("def alpha():\n    token = 'q7Jx9Lm2Vb8Rt5Zp0Wn4Kd6Hs3Yc1Gf'\n")
+    with pytest.raises(PermissionError):
+        p.expand("alpha")
+    assert all(i["location"].startswith("b.py") for i in p.search("alpha gamma")["items"])
+    (tmp_path / "b.py").unlink()
+    gone = p.expand("gamma")["items"][0]
+    assert gone["state"] == "stale" and gone["content"] == ""
+    # What the gate refuses now is in no table once it is indexed again.
+    p.index()
+    assert not any(b"return 10" in f.read_bytes() or b"q7Jx9Lm2" in f.read_bytes() for f in tmp_path.rglob("*.parquet"))
+
+
+def test_watch_sees_deletions(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    for n in "ab":
+        (root / f"{n}.py").write_text(f"def {n}():\n    pass\n")
+    p = Project(spark, str(root))
+    for gone in (None, "b.py", None):
+        if gone:
+            (root / gone).unlink()
+        q = p.watch(str(tmp_path / "stream"), every=None)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert p.store.read("files").count() == 1
+    # A folder that hasn't changed starts no batch.
+    assert p.store.state["version"] == 2
