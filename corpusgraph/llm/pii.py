@@ -1,21 +1,23 @@
 """Personal data with offset-preserving deobfuscation.
 
 Base detection finds e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers
-in the text as it stands. Transducers then rewrite disguises into a normalised text: Cyrillic,
-Greek and full-width look-alikes become ASCII, spelled digits become digits, and at/dot
-disguises become ``@`` and ``.``. Where a run of spelled digits ends and whether its commas and
+in the text as it stands. Transducers then rewrite disguises into a normalised text, each what
+the one before it has written: Cyrillic, Greek and full-width look-alikes become ASCII, spelled
+digits become digits, and dot and at disguises become ``.`` and ``@``. So disguises may be mixed
+(a look-alike in a bracketed "dot", spelled digits between spelled dots). Where a run of spelled digits ends and whether its commas and
 dots count is open, so there are three readings: runs of six digits and more, one by one; runs
 of any length joined with the numerals beside them; and the same without commas and dots, which
-stay. Spans of all readings count, save those within another of their kind. Each rewrite is an edge from a source range to its output, so
-the normalised text comes with a map of its pieces; spans found there are carried back to source
-code points. Spans that touch no rewrite, or lie within a base span of their kind, add nothing;
+stay. Spans of all readings count, save those within another of their kind. Each character of a
+normalised text carries the source range it stands for, through all rewrites; spans found there
+are carried back to source code points. Spans that touch no rewrite, or lie within a base span of their kind, add nothing;
 a disguised span that reaches beyond a base span is added beside it.
 
 Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't overlap;
 matches that fail a check (IP part above 255, Luhn, number of digits) are dropped.
 
 Defined cases: null and empty texts have no spans; very long texts are scanned whole, in time
-linear in their length; repeated rows are scanned each; other columns pass through.
+linear in their length whatever they hold; repeated rows are scanned each; other columns pass
+through, but a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import bisect
 import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from corpusgraph.llm.common import map_text
@@ -52,7 +55,7 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 LOOK = "[" + re.escape("".join(LOOKALIKES)) + "]"
 WORD = "(?:" + "|".join(SPELLED) + ")"
-LONG_RUN = rf"(?<![^\W_])(?:plus[ ,.-]+)?{WORD}(?:[ ,.-]+(?:{WORD}|[0-9])){{5,}}(?![^\W_])"
+LONG_RUN = rf"(?<![^\W_])(?:plus[ ,.-]+)?{WORD}(?:[ ,.-]++(?:{WORD}|[0-9])){{5,}}(?![^\W_])"
 
 
 def any_run(sep: str) -> str:
@@ -63,21 +66,20 @@ def any_run(sep: str) -> str:
     return rf"(?<![^\W_])(?:plus{sep})?(?:[0-9]++{sep}){{0,18}}{WORD}(?![^\W_])(?:{sep}(?:{WORD}|[0-9]++)(?![^\W_]))*+"
 
 
-AT_BRACKET = r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*"
-DOT_BRACKET = r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*"
-DOT_WORD = r"[ \t]+dot[ \t]+"
-HOST = r"[A-Za-z0-9-]+"
-# Last labels of host names before which a bare " at " or " dot " is a disguise.
-TLD = r"(?:com|org|net|edu|gov|info|biz|io|co|eu|uk|us|ca|de|fr|es|it|nl|ch|at|be|pl|pt|se|ru|br|mx|in|jp|cn|au)(?![A-Za-z0-9-])"
-AT_WORD = rf"[ \t]+at[ \t]+(?={HOST}(?:(?:{DOT_WORD}|{DOT_BRACKET}|\.){HOST}){{0,4}}?(?:{DOT_WORD}|{DOT_BRACKET}){TLD})"
+# At and dot signs; blanks around them are taken in by hand, so that a run of blanks is read twice
+# at most however many signs could begin there.
+AT_SIGN = re.compile(r"[\[({<][ \t]*+(?:at|@)[ \t]*+[\])}>]|(?<=[ \t])at(?=[ \t])", re.IGNORECASE)
+DOT_SIGN = re.compile(r"[\[({<][ \t]*+(?:dot|punkt|punto|point|\.)[ \t]*+[\])}>]|(?<=[ \t])dot(?=[ \t])", re.IGNORECASE)
+BLANKS = re.compile(r"[ \t]*")
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,5}")
+LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
+# Last labels of host names before which a bare " at " is a disguise.
+TLD = frozenset("com org net edu gov info biz io co eu uk us ca de fr es it nl ch at be pl pt se ru br mx in jp cn au".split())
 # Long runs of digits one by one; runs with numerals beside them; the same where commas and dots stay.
-TRANSDUCERS = [
-    re.compile(rf"(?P<look>{LOOK}+)|(?P<spelled>{spelling})|(?P<at>{AT_BRACKET}|{AT_WORD})|(?P<dot>{DOT_BRACKET}|(?<=[A-Za-z0-9-]){DOT_WORD}(?=[A-Za-z0-9]))", re.IGNORECASE)
-    for spelling in (LONG_RUN, any_run("[ ,.-]++"), any_run("[ -]++"))
-]
+READINGS = [re.compile(spelling, re.IGNORECASE) for spelling in (LONG_RUN, any_run("[ ,.-]++"), any_run("[ -]++"))]
+WORD_ANY = re.compile(WORD, re.IGNORECASE)
 TOKEN = re.compile(rf"plus|{WORD}|[0-9]+", re.IGNORECASE)
-LOOK_ANY = re.compile(LOOK)
-BRACKET_ANY = re.compile(r"[\[({<][ \t]*(?:at|@|dot|punkt|punto|point|\.)[ \t]*[\])}>]")
+LOOK_ANY, LOOK_TABLE = re.compile(LOOK), str.maketrans(LOOKALIKES)
 # A digit word can only be part of an identifier if another digit is next to it. Every separator
 # of a run is of these characters, and " dot " and bracketed dots are looked for on their own.
 SPELLED_ANY = re.compile(rf"{WORD}[\W_]++(?:{WORD}|[0-9])|[0-9][\W_]++{WORD}")
@@ -88,7 +90,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and LOOK_ANY.search(text):
         return True
     low = text.lower()
-    if " dot " in low or "\tdot" in low or "dot\t" in low or BRACKET_ANY.search(low):
+    if DOT_SIGN.search(low) or AT_SIGN.search(low):
         return True
     return bool(SPELLED_ANY.search(low))
 
@@ -136,56 +138,111 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def normalised(text: str, transducer: re.Pattern) -> tuple[str, list[int], list[int], list[int], list[bool]]:
-    """Normalised text, and its pieces: start there, source start, source end, rewritten."""
-    parts, at, src, end, new, done, size = [], [], [], [], [], 0, 0
-
-    def put(s, a, b, rewritten):
-        nonlocal size
-        if s:
-            parts.append(s)
-            at.append(size)
-            src.append(a)
-            end.append(b)
-            new.append(rewritten)
-            size += len(s)
-
-    for m in transducer.finditer(text):
-        a, b = m.span()
-        put(text[done:a], done, a, False)
-        kind = m.lastgroup
-        if kind == "look":
-            for i, c in enumerate(m[0]):
-                put(LOOKALIKES.get(c) or LOOKALIKES.get(c.lower(), c), a + i, a + i + 1, True)
-        elif kind == "spelled":
-            for t in TOKEN.finditer(m[0]):
-                word = t[0].lower()
-                put("+" if word == "plus" else SPELLED.get(word, word), a + t.start(), a + t.end(), True)
-        else:
-            put("@" if kind == "at" else ".", a, b, True)
-        done = b
-    put(text[done:], done, len(text), False)
-    return "".join(parts), at, src, end, new
+class Rewritten:
+    """A text as transducers have rewritten it so far, with the source range of each character."""
+
+    def __init__(self, text: str, start, end, new):
+        self.text, self.start, self.end, self.new = text, start, end, new
+
+    @classmethod
+    def plain(cls, source: str) -> Rewritten:
+        """Look-alikes become the signs they stand for, character by character."""
+        text = source.translate(LOOK_TABLE)
+        code = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        at = np.arange(len(text), dtype=np.int32)
+        return cls(text, at, at + 1, code(source) != code(text))
+
+    def edited(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Rewritten:
+        """Ranges (from, to) replaced by pieces (string, from, to of what it stands for), in order.
+
+        The new text's ranges are those of the source: edits compose.
+        """
+        if not edits:
+            return self
+        texts, starts, ends, news, done = [], [], [], [], 0
+        for a, b, pieces in edits:
+            texts.append(self.text[done:a])
+            starts.append(self.start[done:a])
+            ends.append(self.end[done:a])
+            news.append(self.new[done:a])
+            for s, x, y in pieces:
+                texts.append(s)
+                same = len(s) == y - x
+                starts.append(self.start[x:y] if same else np.full(len(s), self.start[x], dtype=np.int32))
+                ends.append(self.end[x:y] if same else np.full(len(s), self.end[y - 1], dtype=np.int32))
+                news.append(np.ones(len(s), dtype=bool))
+            done = b
+        return Rewritten("".join([*texts, self.text[done:]]), *(np.concatenate([*some, whole[done:]]) for some, whole in ((starts, self.start), (ends, self.end), (news, self.new))))
+
+    def spelled(self, reading: re.Pattern) -> Rewritten:
+        """Spelled digits, in the runs of one reading, as digits without their separators."""
+        edits = []
+        for m in reading.finditer(self.text) if WORD_ANY.search(self.text) else ():
+            tokens = [(t[0].lower(), m.start() + t.start(), m.start() + t.end()) for t in TOKEN.finditer(m[0])]
+            edits.append((*m.span(), [("+" if w == "plus" else SPELLED.get(w, w), a, b) for w, a, b in tokens]))
+        return self.edited(edits)
+
+    def signs(self, pattern: re.Pattern, sign: str, fits) -> Rewritten:
+        """Signs with the blanks around them as ``sign``; bare words only where ``fits`` says so."""
+        text, edits, done = self.text, [], 0
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if a < done:
+                continue
+            while a > done:
+                some = text[max(done, a - 256) : a]
+                a -= len(some) - len(bare := some.rstrip(" \t"))
+                if bare:
+                    break
+            b = BLANKS.match(text, b).end()
+            if m[0][0] not in "[({<" and (a == m.start() or not fits(a, b, done)):
+                continue
+            edits.append((a, b, [(sign, a, b)]))
+            done = b
+        return self.edited(edits)
+
+    def dots(self) -> Rewritten:
+        text = self.text
+        return self.signs(DOT_SIGN, ".", lambda a, b, done: a > done and text[a - 1] in LABEL and b < len(text) and text[b] in LABEL)
+
+    def ats(self) -> Rewritten:
+        """A bare " at " counts before a host whose last dot was disguised."""
+
+        def fits(a, b, done):
+            m = HOST.match(self.text, b)
+            at = b
+            for label in m[0].split(".") if m else []:
+                if at > b and self.new[at - 1] and label.lower() in TLD:
+                    return True
+                at += len(label) + 1
+            return False
+
+        return self.signs(AT_SIGN, "@", fits)
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the normalised text shows, in source offsets."""
+    """Spans that only a normalised text shows, in source offsets.
+
+    The transducers run one after another, each on what the one before has written, so that
+    disguises may be mixed: look-alikes, then spelled digits, dots and at signs.
+    """
     if not disguised(text):
         return []
-    found, seen = set(), set()
+    found, seen, plain = set(), set(), Rewritten.plain(text)
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
-    for transducer in TRANSDUCERS:
-        plain, at, src, end, new = normalised(text, transducer)
-        if plain in seen:
+    for reading in READINGS if WORD_ANY.search(plain.text) else READINGS[:1]:
+        got = plain.spelled(reading).dots().ats()
+        if got.text in seen:
             continue
-        seen.add(plain)
-        for kind, a, b in base_spans(plain):
-            i, j = bisect.bisect_right(at, a) - 1, bisect.bisect_left(at, b) - 1
-            if not any(new[i : j + 1]):
+        seen.add(got.text)
+        touched = np.concatenate([[0], np.cumsum(got.new)])
+        for kind, a, b in base_spans(got.text):
+            if touched[a] == touched[b]:
                 continue
-            start = src[i] if new[i] else src[i] + a - at[i]
-            stop = end[j] if new[j] else src[j] + b - at[j]
-            if not any(x <= start and stop <= y for x, y in taken[kind]):
+            start, stop = int(got.start[a]), int(got.end[b - 1])
+            # Base spans of a kind don't overlap, so only the last that begins by here may hold it.
+            k = bisect.bisect_right(taken[kind], (start, len(text) + 1)) - 1
+            if k < 0 or taken[kind][k][1] < stop:
                 found.add((kind, start, stop))
     # Of spans of a kind that begin in order, one within another ends no later than some before it.
     out, last = [], {}

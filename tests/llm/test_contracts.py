@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -164,6 +165,60 @@ def test_partly_spelled_identifiers(text, kind, span):
     assert span not in pii.redacted(text, [*base, *pii.added_spans(text, base)])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("joe [аt] example [dot] com", "email", "joe [аt] example [dot] com"),
+        ("joe [at] example [dоt] com", "email", "joe [at] example [dоt] com"),
+        ("jоe at exаmple dot com. And", "email", "jоe at exаmple dot com"),
+        ("mail joe dot smith at example dot co dot uk", "email", "joe dot smith at example dot co dot uk"),
+        ("card: four one one one 1111 1111 1111", "card", "four one one one 1111 1111 1111"),
+        ("host １２７ dot zero [dot] zerо dot one", "ip", "１２７ dot zero [dot] zerо dot one"),
+    ],
+)
+def test_mixed_disguises_compose(text, kind, span):
+    base = pii.base_spans(text)
+    assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.added_spans(text, base)]
+
+
+@pytest.mark.parametrize("junk", [" " * 10**6 + " dot ", "a" + " " * 10**6 + "dot b", "[ " * 300_000, " at" * 200_000, "1" + " " * 10**6 + "one", "x dot " * 20_000, "a at b dot com " * 20_000, "one " * 40_000])
+def test_time_is_linear(junk):
+    """A tenth of each text takes about a tenth of the time, and none of them long."""
+    took = []
+    for text in (junk[: len(junk) // 8], junk):
+        began = time.process_time()
+        pii.added_spans(text, pii.base_spans(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 5 and took[1] < 30 * max(took[0], 0.05)
+
+
+def test_pii_cases(odd):
+    rows = pii.find(odd, redact=True).collect()
+    assert len(rows) == odd.count() and all(r.spans is not None and len(r.base_sha256) == 64 for r in rows)
+    assert [r.redacted for r in rows if r.text is None] == [None] and all(r.redacted == r.text for r in rows if r.text is not None)
+    assert pii.find(odd.limit(0)).count() == 0
+
+
+def test_op6_cases(odd):
+    rows = simhash.near_duplicates(odd, 3).collect()
+    assert len(rows) == odd.count()
+    by = {r.doc_id: r for r in rows}
+    # Null, empty and blank texts have print zero and are linked; the null id has its own group.
+    assert {by[i].component_id for i in (2, 4, 5)} == {2} and by[2].fingerprint == "0" * 16
+    assert by[1].component_id == 1 and by[None].component_id is None
+    assert simhash.near_duplicates(odd.limit(0), 3).count() == 0
+
+
+def test_hashes_in_chunks():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("ab A\n\t é") for _ in range(rng.randint(0, 60)))
+        for size in (1, 3, 5):
+            whole = simhash.shingle_hashes(text, size)
+            assert all([h for c in simhash.hash_chunks(text, size, n) for h in c] == whole for n in (1, 7, 40))
+            assert simhash.fingerprint(text, size) == simhash.fingerprint_of(whole)
+
+
 def test_gate_never_shuts_out_a_span(monkeypatch):
     """Random mixes of words, numerals and separators: the gate against no gate."""
     rng = random.Random(9)
