@@ -1,19 +1,22 @@
 """Quality classifier from weak labels.
 
-Nine overlapping heuristics vote good, bad or nothing on each whole text. Expectation-
-maximisation over the counts of vote patterns (at most 3**9 of them at any corpus size, taken
+Eleven overlapping heuristics vote good, bad or nothing on each whole text. Expectation-
+maximisation over the counts of vote patterns (at most 3**11 of them at any corpus size, taken
 over all documents) estimates how often each heuristic votes what, given the hidden class, and
 the share of good texts. The posterior of a text's pattern is its weak label. A hashed linear
-scorer (logistic regression on byte n-grams) then learns the posteriors of at most
-``TRAIN_ROWS`` rows, so that it also judges texts on which the heuristics are silent.
+scorer (logistic regression on byte n-grams) then learns the posteriors themselves, not the class
+they lean to, of at most ``TRAIN_ROWS`` rows, so that it also judges texts on which the heuristics are silent.
 
 Defined cases: null and wordless texts get score 0 and aren't kept or learned from; very long
-texts are read whole; repeated rows count and are scored each; if one class has no sampled rows
-the scorer gives the posterior; an empty table gives an empty result.
+texts are read whole; repeated rows count and are scored each; if the sampled rows are of one
+class only the scorer gives the posterior; an empty table gives an empty result; a kept column with
+the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +25,15 @@ from corpusgraph.llm.common import col, map_text
 from corpusgraph.llm.langid import DIMENSIONS, ngram_rows, train_bits
 
 TRAIN_ROWS = 2000
-KEEP = 0.5
-HEURISTICS = ("upper", "shouting", "symbols", "word_length", "repeated_lines", "digits", "length", "diversity", "line_ends")
+#: Least score of a kept text. Classes weigh alike in training while most texts are good, so this
+#: stands above the middle.
+KEEP = 0.7
+HEURISTICS = ("upper", "shouting", "symbols", "word_length", "repeated_lines", "digits", "length", "diversity", "line_ends", "letterless", "runs")
 BAD, GOOD, SILENT = "0", "1", "-"
 UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
+# Words without a letter, and marks that are doubled.
+LETTERLESS, RUN = re.compile(rb"(?<!\S)[^\sA-Za-z\x80-\xff]++(?!\S)"), re.compile(rb"([^\sA-Za-z0-9\x80-\xff])\1")
 PLAIN = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)) + b" \n\t\r.,;:!?'\"()-"
 
 
@@ -54,6 +61,8 @@ def votes(text: str | None) -> str:
             _vote(w, lambda x: x < 6, lambda x: x >= 60),
             _vote(len(set(words)) / w, lambda x: w > 20 and x < 0.15, lambda x: w > 20 and x > 0.4),
             _vote(sum(x.rstrip()[-1:] in b".!?:;\"'" for x in lines) / len(lines), lambda x: x < 0.2, lambda x: x > 0.8),
+            _vote(len(LETTERLESS.findall(raw)) / w, lambda x: x > 0.2, lambda x: x < 0.05),
+            _vote(len(RUN.findall(raw)) / w, lambda x: x > 0.05, lambda x: x < 0.005),
         )
     )
 
@@ -104,7 +113,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> d
     share, given, posterior = estimate(patterns)
     total = sum(patterns.values())
     part = F.pmod(F.xxhash64(col(id_col).cast("string"), col(text_col)), F.lit(1_000_003))
-    some = docs.filter(part <= int(min(1.0, TRAIN_ROWS / max(1, total)) * 1_000_003)).select(col(text_col).alias("t"), part.alias("part"))
+    some = docs.filter(part <= int(min(1.0, 1.2 * TRAIN_ROWS / max(1, total)) * 1_000_003)).select(col(text_col).alias("t"), part.alias("part"))
 
     def features():
         def f(texts):
@@ -114,20 +123,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> d
 
         return f
 
-    sampled = map_text(some, features, [("votes", "string"), ("at", "array<int>"), ("has", "binary")], text="t", keep=["part"]).filter("votes <> ''").orderBy("part", "votes").limit(2 * TRAIN_ROWS).collect()
+    sampled = map_text(some, features, [("votes", "string"), ("at", "array<int>"), ("has", "binary")], text="t", keep=["part"]).filter("votes <> ''").orderBy("part", "votes").limit(TRAIN_ROWS).collect()
     weights = None
     if sampled:
         x = np.zeros((len(sampled), DIMENSIONS), dtype=np.float32)
         y = np.array([posterior.get(r[1], 0.5) for r in sampled])
         for i, r in enumerate(sampled):
             x[i, np.array(r[2], dtype=np.int64)] = np.frombuffer(bytes(r[3]), dtype=np.float32)
-        hard = np.where(y >= 0.5, 1.0, -1.0)[:, None]
-        if len(set(hard[:, 0])) == 2:
-            # Rows weigh by how sure the posterior is and so that both classes weigh alike.
-            sure = np.abs(2 * y - 1)
-            for s in (-1.0, 1.0):
-                sure[hard[:, 0] == s] /= max(1e-9, sure[hard[:, 0] == s].sum())
-            weights, _ = train_bits(x, hard, sample_weights=sure * len(y) / sure.sum())
+        # Each row is both a good and a bad example, by its posterior; both classes weigh alike.
+        good, bad = y.sum(), (1 - y).sum()
+        if min(good, bad) > 1e-6 * len(y):
+            either = np.concatenate([np.ones(len(y)), -np.ones(len(y))])[:, None]
+            part = np.concatenate([y / good, (1 - y) / bad])
+            weights, _ = train_bits(np.vstack([x, x]), either, sample_weights=part * len(y))
     return {"share": share, "accuracy": accuracies(share, given), "posterior": posterior, "weights": weights}
 
 
