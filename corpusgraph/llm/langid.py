@@ -6,19 +6,19 @@ language whose codeword has the least loss-weighted distance to the classifiers'
 where a bit weighs as much as its classifier is better than chance on the training rows.
 ``ambiguous`` flags texts whose runner-up is close.
 
-Training takes at most ``PER_LANGUAGE`` rows of each language (chosen by a hash of the id,
+Training takes at most ``per_language`` rows of each language (chosen by a hash of the id,
 whole texts, features computed on the executors) and every language of the training part; the
 driver holds 16 KB for each of these rows. Prediction reads nothing but the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null languages
 and ids outside of the training part aren't learned from; one learned language is predicted
-for every text with letters; with none every text is ``und``; repeated rows are scored each.
+for every text with letters; with none every text is ``und``; letters are Unicode's category L, so
+fractions and Roman number signs are none; repeated rows are scored each; a kept column with the
+name of a result gives way to it.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,11 @@ DIMENSIONS = 4096
 PER_LANGUAGE = 400
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's category L."""
+    return any(map(str.isalpha, text))
 
 
 def ngram_rows(texts: list[str], fold: bool = True) -> np.ndarray:
@@ -79,8 +83,8 @@ def train_bits(x: np.ndarray, targets: np.ndarray, sweeps: int = 60, rate: float
     return w, x @ w
 
 
-def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str) -> dict:
-    """Model of the rows for which the column ``learn`` holds."""
+def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> dict:
+    """Model of the rows for which the column ``learn`` holds, at most ``per_language`` of each language."""
     rows = docs.select(col(id_col).alias("i"), col(text_col).alias("t"), col(lang_col).alias("l")).filter(learn & F.col("l").isNotNull() & F.col("t").isNotNull())
     counts = rows.groupBy("l").count()
     langs = sorted(r[0] for r in counts.select("l").collect())
@@ -88,7 +92,7 @@ def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str) ->
         return {"langs": []}
     part = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("langid")), F.lit(1_000_003))
     # A hash threshold takes about 1.2 times the bound; the bound itself is held below.
-    wanted = part <= (F.least(F.lit(1.0), F.lit(1.2 * PER_LANGUAGE) / F.col("count")) * 1_000_003).cast("long")
+    wanted = part <= (F.least(F.lit(1.0), F.lit(1.2 * per_language) / F.col("count")) * 1_000_003).cast("long")
 
     def make():
         def f(texts, langs):
@@ -97,15 +101,17 @@ def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str) ->
 
         return f
 
-    sampled = map_text(rows.join(F.broadcast(counts), "l").filter(wanted).select("i", "t", "l"), make, [("at", "array<int>"), ("has", "binary")], text="t", keep=["i", "l"], args=["l"])
+    # Rows of one id and text are one example, however often they repeat, so what is fetched is bounded.
+    some = rows.join(F.broadcast(counts), "l").filter(wanted).withColumn("p", part).groupBy("l", "p", F.xxhash64("t").alias("h")).agg(F.min("t").alias("t"))
+    sampled = map_text(some, make, [("at", "array<int>"), ("has", "binary")], text="t", keep=["l", "p", "h"], args=["l"]).orderBy("p", "h").limit(2 * per_language * len(langs))
     taken, index, x, y = dict.fromkeys(langs, 0), {name: i for i, name in enumerate(langs)}, [], []
-    for r in sorted(sampled.collect(), key=lambda r: (str(r[1]), str(r[0]), bytes(r[3]))):
-        if taken[r[1]] < PER_LANGUAGE:
-            taken[r[1]] += 1
+    for r in sampled.collect():
+        if taken[r["l"]] < per_language:
+            taken[r["l"]] += 1
             row = np.zeros(DIMENSIONS, dtype=np.float32)
-            row[np.array(r[2], dtype=np.int64)] = np.frombuffer(bytes(r[3]), dtype=np.float32)
+            row[np.array(r["at"], dtype=np.int64)] = np.frombuffer(bytes(r["has"]), dtype=np.float32)
             x.append(row)
-            y.append(index[r[1]])
+            y.append(index[r["l"]])
     langs_of, code = np.array(y, dtype=np.int64), codewords(len(langs))
     if len(langs) == 1 or not x:
         return {"langs": langs, "w": None}
@@ -137,7 +143,7 @@ def predict(docs: DataFrame, model: dict, *, keep: list[str] | None = None, text
         def f(texts):
             rows = texts.to_pylist()
             named, score, close = [UNDETERMINED] * len(rows), [0.0] * len(rows), [False] * len(rows)
-            at = [i for i, s in enumerate(rows) if s is not None and LETTER.search(s)] if model["langs"] else []
+            at = [i for i, s in enumerate(rows) if s is not None and has_letter(s)] if model["langs"] else []
             # Decoding takes a number for each row and bit of every codeword.
             step = max(1, min(128, 2_000_000 // model["code"].size)) if model.get("w") is not None else 128
             for k in range(0, len(at), step):
@@ -160,7 +166,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, *, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, *, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """Train on the rows of ``docs`` that aren't held out and predict every row."""
     known = F.col("i").isNotNull() & ~held_out("i")
-    return predict(docs, train(docs, known, id_col, text_col, lang_col), keep=keep, text_col=text_col)
+    return predict(docs, train(docs, known, id_col, text_col, lang_col, per_language), keep=keep, text_col=text_col)
