@@ -1,18 +1,25 @@
 """Size-balanced sharding by best-fit-decreasing bin packing.
 
-Documents with equal text form a group, and a group is indivisible unless it is larger
-than a shard. Groups of at least a 250th of a shard are packed one by one; smaller
-ones ride in parcels (all groups whose key falls into one hash bucket). The packer thus
-sees at most ``n_shards * (LARGE + PARCELS)`` items at any corpus size, a bound that doesn't
-depend on the data, while every byte of the corpus counts. Items enter, largest first, the
-bin with the tightest sufficient remaining capacity, found through a balanced (AVL) tree.
-The fixed capacity is the smallest one at which ``n_shards`` bins hold everything, found by
-bisection, so sizes come out near equal.
+Documents with equal text form an indivisible group. Groups enter, largest first, the bin with
+the tightest sufficient remaining capacity, found through a balanced (AVL) tree. Groups of one
+size are alike, and once a bin is the tightest for a size it stays so until it can't hold one
+more; so a step of the packer deals all groups of a size that the bin can take, and the packing
+is that of every single group. What the packer sees is the number of groups of each size:
+sizes count exactly up to 2**``EXACT_BITS`` bytes and are rounded up in the 2**``DIGITS``-th
+beyond, which bounds these numbers by 100,000 at any corpus size. The fixed capacity is the
+smallest one (within a 50,000th) at which ``n_shards`` bins hold everything, found by bisection,
+so sizes come out near equal.
+
+Groups of a size that go to several bins are dealt in the order of ranks, which are made in
+buckets of at most about ``SLOT_ROWS`` groups, as are the slots of rows in a shard.
+
+With ``whole`` (the default) no group is ever divided, and one larger than a shard's share is a
+shard of its own beyond the others' size. Where sizes have to come out near equal whatever the
+groups are, ``whole=False`` deals a group larger than a share in pieces of about a quarter of it.
 
 Defined cases: a null text has no bytes (size is the overhead alone), null checksum, and
-forms one group with other null texts; a group larger than a shard is split by a hash of its
-doc_id; repeated rows are separate rows with slots of their own; an empty table gives an
-empty result; other columns are ignored.
+forms one group with other null texts; repeated rows are separate rows with slots of their own;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +30,8 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.common import col, cut
 
 OVERHEAD = 16
-PARCELS = 256
-LARGE = 250
+EXACT_BITS = 16
+DIGITS = 10
 SLOT_ROWS = 100_000
 
 
@@ -90,91 +97,129 @@ class FreeSpace:
 
 def best_fit_decreasing(sizes: list[int], capacity: int, most: int) -> list[int] | None:
     """Bin of each item, or None when ``most`` bins of ``capacity`` don't hold them."""
-    free, used, out = FreeSpace(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = free.tightest(sizes[i])
-        if at is None:
-            if used == most or sizes[i] > capacity:
-                return None
-            at, used = (capacity, used), used + 1
-        else:
-            free.remove(at)
-        free.add((at[0] - sizes[i], at[1]))
-        out[i] = at[1]
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    counts: dict[int, int] = {}
+    for s in sizes:
+        counts[s] = counts.get(s, 0) + 1
+    runs = best_fit_runs(sorted(counts.items(), reverse=True), capacity, most)
+    if runs is None:
+        return None
+    out, dealt = [0] * len(sizes), iter([at for some in runs for at, k in some for _ in range(k)])
+    for i in order:
+        out[i] = next(dealt)
+    return out
+
+
+def best_fit_runs(counts: list[tuple[int, int]], capacity: int, most: int) -> list[list[tuple[int, int]]] | None:
+    """For each (size, number of items), sizes falling: runs (bin, number) in the order of dealing."""
+    free, used, out = FreeSpace(), 0, []
+    for size, n in counts:
+        runs = []
+        while n:
+            at = free.tightest(size)
+            if at is None:
+                if used == most or size > capacity:
+                    return None
+                at, used = (capacity, used), used + 1
+            else:
+                free.remove(at)
+            k = min(n, at[0] // size)
+            free.add((at[0] - k * size, at[1]))
+            runs.append((at[1], k))
+            n -= k
+        out.append(runs)
     return out
 
 
-def pack(sizes: list[int], bins: int) -> list[int]:
+def pack(counts: list[tuple[int, int]], bins: int) -> list[list[tuple[int, int]]]:
     """Best-fit-decreasing at the least capacity (within 1/50000) for which ``bins`` suffice."""
-    if not sizes:
+    if not counts:
         return []
-    low = max(-(-sum(sizes) // bins), max(sizes))
+    low = max(-(-sum(s * n for s, n in counts) // bins), counts[0][0])
     step = max(1, low // 50_000)
-    if best := best_fit_decreasing(sizes, low, bins):
+    if best := best_fit_runs(counts, low, bins):
         return best
     high = low + step
-    while not (best := best_fit_decreasing(sizes, high, bins)):
+    while not (best := best_fit_runs(counts, high, bins)):
         low, high = high, high + 2 * (high - low)
     while high - low > step:
         mid = (low + high) // 2
-        if got := best_fit_decreasing(sizes, mid, bins):
+        if got := best_fit_runs(counts, mid, bins):
             best, high = got, mid
         else:
             low = mid
     return best
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def size_class(size):
+    """The size, rounded up beyond 2**EXACT_BITS to that many leading binary digits."""
+    drop = F.greatest(F.lit(0), F.length(F.bin(size)) - F.lit(DIGITS + 1))
+    unit = F.when(size > (1 << EXACT_BITS), F.call_function("shiftleft", F.lit(1).cast("long"), drop.cast("int"))).otherwise(F.lit(1).cast("long"))
+    return (F.ceil(size / unit) * unit).cast("long")
+
+
+def _ranked(rows: DataFrame, key: str, buckets, order: list[str]) -> DataFrame:
+    """``rows`` with ``rank``, gapless from 0 within each ``key``; no task ranks a whole key.
+
+    ``buckets`` is the number of parts of a key, a column of its own.
+    """
+    parted = rows.withColumn("part", F.pmod(F.xxhash64(*order, F.lit(3)), buckets))
+    sizes = parted.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n_in"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(key).alias("rk"), F.col("part").alias("rp"), F.coalesce(F.sum("n_in").over(before), F.lit(0)).alias("start"))
+    local = F.row_number().over(Window.partitionBy(key, "part").orderBy(*order))
+    ranked = parted.withColumn("in_part", local).join(starts, (F.col(key) == F.col("rk")) & (F.col("part") == F.col("rp")))
+    return ranked.withColumn("rank", (F.col("start") + F.col("in_part") - 1).cast("long")).drop("rk", "rp", "start", "in_part", "part")
+
+
+def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", *, whole: bool = True) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and group_key for every row."""
     spark = docs.sparkSession
     raw = col(text_col).cast("binary")
+    # A number for each row, fixed by writing it, spreads rows that are alike in all else.
     base = cut(
         docs.select(
             col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(raw), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
             F.crc32(raw).alias("text_crc32"),
             F.xxhash64(col(text_col)).alias("group_key"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
     n_rows, total = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = max(1, -(-total // n_shards))
-    large = max(1, share // LARGE)
-    groups = base.groupBy("group_key").agg(F.sum("size").alias("bytes"))
-    n_parcels = n_shards * PARCELS
-    parcel = F.pmod(F.xxhash64("group_key", F.lit(1)), F.lit(n_parcels))
-    # At most n_shards * LARGE large groups exist, since together they hold at most the total.
-    big = [(r[0], r[1]) for r in groups.filter(F.col("bytes") >= large).collect()]
-    small = [(r[0], r[1]) for r in groups.filter(F.col("bytes") < large).groupBy(parcel.alias("p")).agg(F.sum("bytes")).collect()]
-    # A group beyond a shard's share is dealt into pieces of about a quarter of a share.
-    split = [(k, -(-4 * b // share)) for k, b in big if b > share]
-    pieces = []
-    if split:
-        parts = spark.createDataFrame(split, "group_key long, n_pieces long")
-        at = F.pmod(F.xxhash64("doc_id", F.lit(2)), "n_pieces")
-        pieces = [(r[0], r[1], r[2]) for r in base.join(F.broadcast(parts), "group_key").groupBy("group_key", at.alias("piece")).agg(F.sum("size")).collect()]
-    gone = {k for k, _ in split}
-    items = sorted([(k, -1, b) for k, b in big if k not in gone] + [(p, -2, b) for p, b in small] + pieces)
-    bins = pack([b for *_, b in items], n_shards)
-    rows = [(k, piece, shard) for (k, piece, _), shard in zip(items, bins, strict=True)]
-    one = spark.createDataFrame([(k, s) for k, p, s in rows if p == -1], "group_key long, s_one int")
-    many = spark.createDataFrame([(k, s) for k, p, s in rows if p == -2], "parcel long, s_parcel int")
-    dealt = base.join(F.broadcast(one), "group_key", "left").withColumn("parcel", parcel).join(F.broadcast(many), "parcel", "left")
-    shard = F.coalesce("s_one", "s_parcel")
-    if split:
-        where = spark.createDataFrame([(k, p, s) for k, p, s in rows if p >= 0], "group_key long, piece long, s_piece int")
-        dealt = dealt.join(F.broadcast(parts), "group_key", "left").withColumn("piece", at).join(F.broadcast(where), ["group_key", "piece"], "left")
-        # s_piece comes first: the parcel of a split group's key means nothing to it.
-        shard = F.when(F.col("n_pieces").isNotNull(), F.col("s_piece")).otherwise(shard)
-    n_buckets = max(1, -(-n_rows // (n_shards * SLOT_ROWS)))
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(3)), F.lit(n_buckets))
-    dealt = dealt.select("doc_id", "size", "text_crc32", "group_key", shard.cast("int").alias("shard"), bucket.alias("bucket"))
-    counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n_in"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n_in").over(before), F.lit(0)).alias("start"))
-    local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        dealt.withColumn("at", local)
-        .join(starts, ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_key")
-    )
+    groups, large = base.groupBy("group_key").agg(F.sum("size").alias("bytes")), None
+    keyed = base.withColumn("piece", F.lit(0))
+    if not whole:
+        # Fewer groups than shards are larger than a share.
+        large = [(r[0], -(-4 * r[1] // share)) for r in groups.filter(F.col("bytes") > share).collect()]
+    if large:
+        n_pieces = F.element_at(F.create_map(*[F.lit(x) for kv in large for x in kv]), F.col("group_key"))
+        keyed = base.withColumn("piece", F.when(F.col("group_key").isin([k for k, _ in large]), F.pmod(F.xxhash64("row", F.lit(2)), n_pieces).cast("int")).otherwise(0))
+        groups = keyed.groupBy("group_key", "piece").agg(F.sum("size").alias("bytes"))
+    else:
+        groups = groups.withColumn("piece", F.lit(0))
+    groups = cut(groups.withColumn("class", size_class(F.col("bytes"))).select("group_key", "piece", "class"), "shard-groups")
+    counts = sorted(((r[0], r[1]) for r in groups.groupBy("class").count().collect()), reverse=True)
+    runs = pack(counts, n_shards)
+    one = spark.createDataFrame([(size, some[0][0]) for (size, _), some in zip(counts, runs, strict=True) if len(some) == 1], "c long, s_one int")
+    placed = groups.join(F.broadcast(one), F.col("class") == F.col("c"), "left").drop("c")
+    several = [(size, n, some) for (size, n), some in zip(counts, runs, strict=True) if len(some) > 1]
+    done = placed.filter("s_one is not null").select("group_key", "piece", F.col("s_one").alias("shard"))
+    if several:
+        rows = []
+        for size, _, some in several:
+            first = 0
+            for at, k in some:
+                rows.append((size, first, first + k, at))
+                first += k
+        ranges = spark.createDataFrame(rows, "c long, first long, beyond long, shard int")
+        parts = spark.createDataFrame([(size, -(-n // SLOT_ROWS)) for size, n, _ in several], "c long, parts int")
+        open_ones = placed.filter("s_one is null").join(F.broadcast(parts), F.col("class") == F.col("c")).drop("c")
+        ranked = _ranked(open_ones, "class", F.col("parts"), ["group_key", "piece"])
+        dealt = ranked.join(F.broadcast(ranges), (F.col("class") == F.col("c")) & (F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("beyond")))
+        done = done.unionByName(dealt.select("group_key", "piece", "shard"))
+    placed_rows = keyed.join(done, ["group_key", "piece"]).select("doc_id", "size", "text_crc32", "group_key", "row", "shard")
+    ranked = _ranked(placed_rows, "shard", F.lit(max(1, -(-n_rows // (n_shards * SLOT_ROWS)))), ["row"])
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_key")
