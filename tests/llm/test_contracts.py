@@ -293,14 +293,56 @@ def test_op10_holds_its_law(spark, small):
 
 def test_sharding_splits_what_no_shard_holds(spark, odd):
     rows = [(i, "same text") for i in range(900)] + [(1000 + i, f"other {i}") for i in range(100)]
-    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 10)
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 10, whole=False)
     sizes = [r[1] for r in out.groupBy("shard").agg(F.sum("size")).collect()]
     assert len(sizes) == 10 and max(sizes) < 1.1 * min(sizes)
+    kept = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 10)
+    assert kept.filter("doc_id < 1000").select("shard").distinct().count() == 1 and kept.select("shard").distinct().count() <= 10
+    # Repeated rows, alike in all columns, are dealt too.
+    same = sharding.shard_by_bytes(spark.createDataFrame([(1, "x")] * 1000, "doc_id long, text string"), 4, whole=False).groupBy("shard").agg(F.sum("size"), F.count("*"), F.max("slot")).collect()
+    assert len(same) == 4 and max(r[1] for r in same) < 1.3 * min(r[1] for r in same) and all(r[3] == r[2] - 1 for r in same)
     got = sharding.shard_by_bytes(odd, 3)
     assert got.count() == odd.count() and got.filter("text_crc32 is null").count() == 1 and got.filter("shard is null or slot is null").count() == 0
     assert sharding.shard_by_bytes(odd.limit(0), 3).count() == 0
 
 
+def test_runs_are_the_packing_of_single_items(spark, monkeypatch):
+    """Against best fit one by one, with a list for the tree, and groups ranked in many parts."""
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes = [rng.choice((1, 2, 3, 5, 7, 11, 13)) for _ in range(rng.randint(1, 60))]
+        capacity, room, want = rng.randint(13, 60), [], []
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fits = [(r, b) for b, r in enumerate(room) if r >= sizes[i]]
+            b = min(fits)[1] if fits else len(room)
+            if not fits:
+                room.append(capacity)
+            room[b] -= sizes[i]
+            want.append((i, b))
+        assert sharding.best_fit_decreasing(sizes, capacity, len(room)) == [b for _, b in sorted(want)]
+        assert sharding.best_fit_decreasing(sizes, capacity, len(room) - 1) is None
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    rows = spark.createDataFrame([(i, f"text {i % 200:03}") for i in range(600)], "doc_id long, text string")
+    out = sharding.shard_by_bytes(rows, 7).collect()
+    by_group = defaultdict(set)
+    for r in out:
+        by_group[r.group_key].add(r.shard)
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r.shard] += r.size
+    assert len(out) == 600 and all(len(s) == 1 for s in by_group.values())
+    # 200 groups of 72 bytes in 7 bins: the least capacity holds 29 of them.
+    assert max(sizes.values()) == 29 * 72
+    for shard in sizes:
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
+def test_size_classes(spark):
+    sizes = [1, 17, 65535, 65536, 65537, 65568, 100_001, 10**9 + 1, 2**40 - 1, 2**40]
+    rows = [(r[0], r[1]) for r in spark.createDataFrame([(s,) for s in sizes], "s long").select("s", sharding.size_class(F.col("s"))).collect()]
+    assert all(c == s for s, c in rows if s <= 65536) and all(s <= c <= s * (1 + 2**-9) for s, c in rows)
+
+
 def test_best_fit_decreasing():
     sizes = [7, 6, 5, 4, 3, 3, 2]
     bins = sharding.best_fit_decreasing(sizes, 10, 3)

@@ -38,6 +38,9 @@ def test_langid_cases(odd, spark):
     rows = langid.identify(odd).collect()
     assert len(rows) == odd.count()
     by = {r.doc_id: r for r in rows}
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ 12 !"), (2, "é"), (3, "ª")], "doc_id long, text string")
+    model = {"langs": ["en"], "w": None}
+    assert [r.lang_pred for r in langid.predict(signs, model).collect()] == ["und", "en", "en"]
     assert by[2].lang_pred == by[4].lang_pred == by[5].lang_pred == by[8].lang_pred == "und" and by[2].score == 0
     assert langid.identify(odd.limit(0)).count() == 0
     none = langid.identify(odd.withColumn("lang", F.lit(None).cast("string")))
@@ -80,7 +83,7 @@ def test_quality_separates_labelled_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").collect()
     good, bad = [r.keep for r in got if r.quality == 1], [r.keep for r in got if r.quality == 0]
-    assert sum(good) >= 0.93 * len(good) and sum(bad) <= 0.6 * len(bad)
+    assert sum(good) >= 0.93 * len(good) and sum(bad) <= 0.45 * len(bad)
 
 
 def test_quality_cases(odd):
@@ -111,6 +114,65 @@ def test_licence_classes():
     assert m.scan(None) == (0, []) and m.scan("") == (0, [])
 
 
+LINES = ["the cat sat on the mat", "in the middle of the night this is fine", "a word of the people and the state in general", "they were distributed over the land under the terms of the king"]
+
+
+@pytest.fixture(scope="module")
+def licence_model():
+    rng = random.Random(3)
+    return licences.Model([" ".join(random_words(rng, 14)) for _ in range(400)] + LINES * 20)
+
+
+@pytest.mark.parametrize("text", ["Artistic License 2.0", "ISC License", "Boost Software License 1.0", "Licensed under the Artistic License 2.0.", "Licensed under the Eclipse Public License 2.0.", "Distributed under the Boost Software License, Version 1.0.", "Released under the PostgreSQL License."])
+def test_other_licences_are_unknown(licence_model, text):
+    assert [h[0] for h in licence_model.scan(text)[1]] == ["unknown"]
+
+
+@pytest.mark.parametrize("text", ["The driver lost his license last year.", "Copyright lawyers met in the town.", "The committee gave permission for the party.", "A licence to fish can be had at the shop."])
+def test_talk_of_licences_names_no_family(licence_model, text):
+    assert all(h[0] == "unknown" for h in licence_model.scan(text)[1])
+
+
+def test_similar_grants_are_not_confirmed(licence_model):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    assert not any(h[4] for h in licence_model.scan(isc)[1])
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by the\nFree Software Foundation, either version 3 of the License, or (at your\noption) any later version.",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_wrapped_notices_are_found_whole(licence_model, family):
+    text = f"Some text.\n\n{WRAPPED[family]}\n\nMore text."
+    n, hits = licence_model.scan(text)
+    assert n == 3 and [(h[0], text[h[1] : h[2]], h[4]) for h in hits] == [(family, WRAPPED[family], True)]
+
+
+def test_probabilities_are_calibrated(licence_model):
+    # On notices, families and sentences that the fold's model hasn't seen.
+    assert licence_model.calibration_error < 0.2 and 0.1 < licence_model.threshold < 0.95
+
+
+def test_held_out_notices_keep_their_family():
+    """Each first notice left out of training in turn: its family or unknown, hardly ever another."""
+    wrong = right = 0
+    for family in ("apache", "bsd", "cc-by-nc", "gpl", "mit"):
+        held = licences.TEMPLATES[family][1]
+        before = dict(licences.TEMPLATES)
+        try:
+            licences.TEMPLATES[family] = [t for t in before[family] if t != held]
+            label = licences.Model(LINES * 40).classify(licences.words_of(held))[0]
+        finally:
+            licences.TEMPLATES.update(before)
+        right += label == family
+        wrong += label not in (family, "unknown", "none")
+    assert wrong <= 1 and right >= 2
+
+
 def test_licence_cases(odd):
     assert licences.scan(odd).count() == odd.count() and licences.scan(odd.limit(0)).count() == 0
 
@@ -149,6 +211,22 @@ def test_urlfilter_intervals(spark):
     assert urlfilter.judge(df, entries.limit(0)).filter("blocked").count() == 0 and urlfilter.judge(df.limit(0), entries).count() == 0
 
 
+def test_urlfilter_paths_and_hot_hosts(spark, monkeypatch):
+    entries = spark.sql(
+        """SELECT list, action, pattern, to_timestamp(dated) AS dated, listed FROM VALUES
+        ('l', 'block', 'site.org/fr', '2024-01-01', true), ('l', 'block', 'site.org/de/', '2024-01-01', true), ('w', 'allow', 'site.org/fr/ok', '2024-01-01', true),
+        ('l', null, 'site.org', '2024-01-01', true), ('k', 'block', 'hot.net', '2024-01-01', true)
+        AS e(list, action, pattern, dated, listed)"""
+    )
+    rows = [("http://site.org/fr", True, 1), ("http://site.org/french", False, 0), ("http://a.site.org/fr/x?q", True, 1), ("http://site.org/fr/ok/y", False, 2), ("http://site.org/fr/okay", True, 1), ("http://site.org/de", True, 1), ("http://site.org/", False, 0)]
+    rows += [("http://hot.net/", True, 1)] * 500
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, url string, want boolean, n int").withColumn("fetched", F.to_timestamp(F.lit("2024-02-01")))
+    for hot in (1000, 1):
+        monkeypatch.setattr(urlfilter, "HOT", hot)
+        got = urlfilter.judge(df, entries)
+        assert got.count() == len(rows) and got.filter("blocked <> want or n_active <> n").count() == 0
+
+
 def near_rows():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
