@@ -101,6 +101,20 @@ def test_decontamination_cases(spark, block_words):
     assert none.filter("n_hit > 0 or contaminated").count() == 0 and none.count() == len(docs)
 
 
+def test_long_items_come_in_slices(spark, monkeypatch):
+    """Slices and blocks of a few words against brute force over the whole item."""
+    rng = random.Random(12)
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 7)
+    item = [f"w{rng.randrange(40)}" for _ in range(120)]
+    items = [(1, " ".join(item)), (2, "w1 w2 w3"), (3, "w1 w2"), (4, " ".join(item[20:60]))]
+    docs = [(i, " ".join(item[a : a + rng.randint(2, 30)] + ["x"] + rng.choices(item, k=10))) for i, a in enumerate(rng.randrange(110) for _ in range(40))]
+    want = decontaminate.brute_force(docs, items, 4)
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (10**6, 40):
+        got = decontaminate.decontaminate(*tables, window=4, block_words=block).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
+
+
 def brute_spans(text: str) -> list[tuple]:
     out = []
     for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
