@@ -13,17 +13,24 @@ into units (a run of spaces with the word behind it); sampling each unit on its
 the whole lattice. A batch's distinct units are laid out column by column and filtered together
 in numpy; draws for all occurrences are made in step.
 
+A long unit (a blob without spaces) is first cut at nodes that no piece crosses, which all paths
+share. What stays longer than ``GIANT`` bytes is filtered in windows: the forward pass keeps the
+sums at the windows' edges only, and the backward pass makes each window's sums again before it
+samples through it. So memory is bounded by a window and draws have the same distribution.
+
 Defined cases: a null text has null ids and no pieces and decodes to null; an empty text has
 no pieces; a null key is a key like any other; rows of equal text and key are segmented alike;
-very long texts are encoded whole, in time linear in their length but for units without a
-space, whose steps are sequential; other columns pass through.
+very long texts are encoded whole, in time linear in their length, ``CHUNK`` bytes at a time;
+other columns pass through, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,8 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 17
 #: Bytes of text encoded together; a batch takes about a hundred times that in memory.
 BATCH = 3 << 19
+CHUNK = 1 << 20
+LONG, GIANT, WINDOW = 512, 8192, 1 << 15
 
 
 class Vocabulary:
@@ -115,6 +124,7 @@ def load(path: str = MODEL, theta: float = 1.0) -> Vocabulary:
 
 
 UNIT = re.compile(rb" *[^ \n]+|\n| +")
+BETWEEN = re.compile(rb"\n|[^ \n](?= )")
 CHAR_BYTES = np.array([1 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)], dtype=np.int64)
 
 
@@ -236,6 +246,96 @@ def uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def matches(v: Vocabulary, flat: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, id) of all edges that start in [lo, hi); ``flat`` holds a unit's bytes."""
+    codes, n = flat[lo:hi], len(flat)
+    starts, spans, ids = [], [], []
+    at, h = np.arange(lo, hi), np.zeros(hi - lo, dtype=np.uint64)
+    has_char, need = np.zeros(hi - lo, dtype=bool), CHAR_BYTES[codes]
+    for length in range(1, v.longest + 1):
+        inside = at + length <= n
+        at, h = at[inside], h[inside]
+        if not len(at):
+            break
+        h = (h ^ flat[at + (length - 1)].astype(np.uint64)) * MULT + np.uint64(0x7F4A7C15)
+        got = v.find(h)
+        hit = got >= 0
+        starts.append(at[hit])
+        spans.append(np.full(int(hit.sum()), length, dtype=np.int64))
+        ids.append(got[hit])
+        has_char[at[hit][need[at[hit] - lo] == length] - lo] = True
+        alive = got != -2
+        at, h = at[alive], h[alive]
+    lone = lo + np.flatnonzero(~has_char & ((codes < 0x80) | (codes >= 0xC0)))
+    for k in range(4):
+        p = lone[(need[lone - lo] > k) & (lone + k < n)] + k
+        starts.append(p)
+        spans.append(np.ones(len(p), dtype=np.int64))
+        ids.append(v.byte_ids[flat[p]])
+    return np.concatenate(starts), np.concatenate(spans), np.concatenate(ids)
+
+
+def cut_up(unit: bytes, v: Vocabulary) -> list[bytes]:
+    """The unit in parts at the nodes that no edge crosses."""
+    flat = np.frombuffer(unit, dtype=np.uint8)
+    reach = np.zeros(len(flat) + 1, dtype=np.int64)
+    for lo in range(0, len(flat), WINDOW):
+        start, span, _ = matches(v, flat, lo, min(len(flat), lo + WINDOW))
+        np.maximum.at(reach, start, start + span)
+    far = np.maximum.accumulate(reach[:-1])
+    # Byte pieces of a character stay together.
+    begins = np.append((flat[1:] & 0xC0) != 0x80, True)
+    ends = (np.flatnonzero((far <= np.arange(1, len(flat) + 1)) & begins) + 1).tolist()
+    return [unit[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+class Giant:
+    """A unit whose lattice is too large to hold: sums at the edges of windows, made once."""
+
+    def __init__(self, unit: bytes, v: Vocabulary):
+        self.v, self.flat, self.n = v, np.frombuffer(unit, dtype=np.uint8), len(unit)
+        self.held = {0: {0: 0.0}}
+        for lo in range(0, self.n, WINDOW):
+            sums = self._sums(lo)[0]
+            edge = min(self.n, lo + WINDOW)
+            self.held[edge] = {j: sums[j] for j in range(max(0, edge - v.longest), edge + 1) if j in sums}
+
+    def _sums(self, lo: int) -> tuple[dict[int, float], dict[int, list]]:
+        """Log sums of the nodes of the window behind ``lo``, and the edges into each."""
+        hi = min(self.n, lo + WINDOW)
+        start, span, ids = matches(self.v, self.flat, max(0, lo - self.v.longest), hi)
+        end = start + span
+        some = (end > lo) & (end <= hi)
+        start, end, ids = start[some], end[some], ids[some]
+        order = np.argsort(end, kind="stable")
+        into: dict[int, list] = {}
+        for s, e, i, w in zip(start[order].tolist(), end[order].tolist(), ids[order].tolist(), self.v.weight[ids[order]].tolist(), strict=True):
+            into.setdefault(e, []).append((s, w, i))
+        sums = dict(self.held[lo])
+        for e, edges in into.items():
+            ways = [sums[s] + w for s, w, _ in edges if s in sums]
+            if ways:
+                top = max(ways)
+                sums[e] = top + math.log(sum(math.exp(x - top) for x in ways))
+        return sums, into
+
+    def sample(self, seed: np.uint64, stop: int, out: np.ndarray) -> None:
+        """Draw a path from the end; ``stop`` is the unit's end in ``out``."""
+        node, begin = self.n, stop - self.n
+        for lo in range((self.n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            sums, into = self._sums(lo)
+            inside = np.arange(begin + lo, begin + min(self.n, lo + WINDOW) + 1)
+            draws = uniform(np.full(len(inside), seed, dtype=np.uint64), inside)
+            while node > lo:
+                u, edges = draws[node - lo], [x for x in into[node] if x[0] in sums]
+                for s, w, i in edges:
+                    u -= math.exp(sums[s] + w - sums[node])
+                    if u < 0:
+                        break
+                out[begin + s] = i + 1
+                node = s
+
+
 class Encoder:
     """Encodes batches; keeps the lattice of the first batch's units for the later ones.
 
@@ -246,11 +346,35 @@ class Encoder:
         self.v, self.kept, self.index = v, None, {}
 
     def __call__(self, texts: list[bytes], seeds: np.ndarray) -> list[np.ndarray]:
-        """Sampled piece ids of each text."""
-        found = [UNIT.findall(text) for text in texts]
+        """Sampled piece ids of each text; long texts go in chunks that end between units."""
+        if max(map(len, texts), default=0) <= CHUNK:
+            return self._batch(texts, seeds)
+        out = []
+        for text, seed in zip(texts, seeds, strict=True):
+            at, got = 0, []
+            while at < len(text) or not got:
+                stop = min(len(text), at + CHUNK)
+                # A unit ends before a space that follows a sign, or behind a line end.
+                if stop < len(text):
+                    m = BETWEEN.search(text, stop)
+                    stop = m.end() if m else len(text)
+                with np.errstate(over="ignore"):
+                    got += self._batch([text[at:stop]], np.array([np.uint64(seed) + np.uint64(at) * MULT], dtype=np.uint64))
+                at = stop
+            out.append(np.concatenate(got))
+        return out
+
+    def _parts(self, text: bytes) -> list[bytes]:
+        units = UNIT.findall(text)
+        if max(map(len, units), default=0) <= LONG:
+            return units
+        return [p for x in units for p in (cut_up(x, self.v) if len(x) > LONG else (x,))]
+
+    def _batch(self, texts: list[bytes], seeds: np.ndarray) -> list[np.ndarray]:
+        found = [self._parts(text) for text in texts]
         per_doc = [len(units) for units in found]
         units = [x for some in found for x in some]
-        known = dict.fromkeys(units)
+        known = dict.fromkeys(x for x in units if len(x) <= GIANT)
         fresh = [x for x in known if x not in self.index]
         if self.kept is None and fresh:
             self.kept, self.index = Lattice(fresh, self.v), dict(zip(fresh, range(len(fresh)), strict=True))
@@ -258,14 +382,16 @@ class Encoder:
         n_kept = len(self.index)
         number = dict(zip(fresh, range(n_kept, n_kept + len(fresh)), strict=True))
         number.update((x, self.index[x]) for x in known if x in self.index)
-        unit = np.fromiter(map(number.__getitem__, units), dtype=np.int64, count=len(units))
+        unit = np.fromiter((number.get(x, -1) for x in units), dtype=np.int64, count=len(units))
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         stop = np.cumsum(size)  # units tile the texts, so these are ends in the joined batch
         # Draws count from each text's start, wherever the text is in the batch.
         seed = np.repeat(seeds.astype(np.uint64) - bounds[:-1].astype(np.uint64) * MULT, per_doc)
         out = np.zeros(bounds[-1], dtype=np.int32)
-        old = np.flatnonzero(unit < n_kept)
+        for i in np.flatnonzero(unit < 0).tolist():
+            Giant(units[i], self.v).sample(seed[i], int(stop[i]), out)
+        old = np.flatnonzero((unit >= 0) & (unit < n_kept))
         if len(old):
             self._walk(self.kept, unit[old], seed[old], stop[old], size[old], out)
         if fresh:
@@ -296,18 +422,34 @@ def decode_ids(ids, v: Vocabulary) -> bytes:
     return b"".join(map(v.bytes_of.__getitem__, ids))
 
 
+def lossless(text: bytes | None, ids: np.ndarray, v: Vocabulary, step: int = 1 << 16) -> bool:
+    """Whether the ids decode to exactly the text; some of them at a time."""
+    at = 0
+    for k in range(0, len(ids), step):
+        some = decode_ids(ids[k : k + step].tolist(), v)
+        if text is None or text[at : at + len(some)] != some:
+            return False
+        at += len(some)
+    return text is None or at == len(text)
+
+
+def id_lists(texts: list, ids: list[np.ndarray]) -> pa.Array:
+    """Lists of piece ids; null for a null text."""
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    none = np.array([t is None for t in texts] + [False])
+    return pa.ListArray.from_arrays(pa.array(ends, mask=none) if none.any() else pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)))
+
+
 def encode(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int = 0, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (columns ``keep``) with ``piece_ids``, a sampled segmentation of each text."""
-    return _run(docs, [("piece_ids", "array<int>")], lambda v, texts, ids: [[None if t is None else i.tolist() for t, i in zip(texts, ids, strict=True)]], model, theta, seed, keep, id_col, text_col)
+    return _run(docs, [("piece_ids", "array<int>")], lambda v, texts, ids: [id_lists(texts, ids)], model, theta, seed, keep, id_col, text_col)
 
 
 def round_trip(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int = 0, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`encode`, with ``lossless``: whether decoding the ids gives the exact text."""
 
     def made(v, texts, ids):
-        ids = [i.tolist() for i in ids]
-        same = [t is None or decode_ids(i, v) == t for t, i in zip(texts, ids, strict=True)]
-        return [[None if t is None else i for t, i in zip(texts, ids, strict=True)], same]
+        return [id_lists(texts, ids), [lossless(t, i, v) for t, i in zip(texts, ids, strict=True)]]
 
     return _run(docs, [("piece_ids", "array<int>"), ("lossless", "boolean")], made, model, theta, seed, keep, id_col, text_col)
 
@@ -318,7 +460,7 @@ def digest(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int
 
     def made(v, texts, ids):
         crc = [zlib.crc32(np.ascontiguousarray(i, dtype="<i4").tobytes()) for i in ids]
-        same = [t is None or decode_ids(i.tolist(), v) == t for t, i in zip(texts, ids, strict=True)]
+        same = [lossless(t, i, v) for t, i in zip(texts, ids, strict=True)]
         return [[len(i) for i in ids], crc, same]
 
     return _run(docs, [("n_pieces", "long"), ("ids_crc32", "long"), ("lossless", "boolean")], made, model, theta, seed, keep, id_col, text_col)
@@ -326,7 +468,8 @@ def digest(docs: DataFrame, *, model: str = MODEL, theta: float = 1.0, seed: int
 
 def _run(docs, fields, made, model, theta, seed, keep, id_col, text_col) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(load(model, theta))
-    keyed = docs.withColumn("__seed", F.xxhash64(col(id_col), F.lit(seed)))
+    seed_col = "seed" + "_" * (1 + max(map(len, docs.columns)))  # no column of the documents has this name
+    keyed = docs.select(*[col(c) for c in docs.columns], F.xxhash64(col(id_col), F.lit(seed)).alias(seed_col))
 
     def make():
         v = held.value
@@ -340,12 +483,11 @@ def _run(docs, fields, made, model, theta, seed, keep, id_col, text_col) -> Data
         return f
 
     kept = list(docs.columns) if keep is None else keep
-    return map_text(keyed, make, fields, text=text_col, keep=kept, args=["__seed"], batch_bytes=BATCH)
+    return map_text(keyed, make, fields, text=text_col, keep=kept, args=[seed_col], batch_bytes=BATCH)
 
 
 def decode(tokens: DataFrame, *, model: str = MODEL, keep: list[str] | None = None, ids_col: str = "piece_ids") -> DataFrame:
     """``tokens`` (columns ``keep``) with ``decoded``, the exact text of the piece ids."""
-    import pyarrow as pa
     from pyspark.sql import types as T
 
     held = tokens.sparkSession.sparkContext.broadcast(load(model))

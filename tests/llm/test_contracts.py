@@ -427,3 +427,30 @@ def test_encoding_is_reproducible_and_lossless(spark, small, vocabulary, odd):
     assert sorted(other, key=key) != ra
     sums = {(r.doc_id, r.n_pieces, r.ids_crc32, r.lossless) for r in pieces.digest(df, keep=["doc_id"]).collect()}
     assert sums == {(r.doc_id, len(r.piece_ids or []), binascii.crc32(np.array(r.piece_ids or [], dtype="<i4").tobytes()), True) for r in ra}
+
+
+def test_chunks_cuts_and_windows_change_no_draw(vocabulary, monkeypatch):
+    rng = random.Random(1)
+    texts = [b"hello world foo bar " * 30, "thé a▁b \n\n x".encode() * 20, b"a" * 900 + b" bb", bytes(rng.choice(b"abcdefXYZ+/") for _ in range(2000)), "你好ꙮ".encode() * 300, b"", b"  \n "]
+    seeds = np.arange(len(texts), dtype=np.uint64) * np.uint64(7919)
+    draw = lambda: [x.tolist() for x in pieces.Encoder(vocabulary)(texts, seeds)]
+    want = draw()
+    assert all(pieces.lossless(t, np.array(i, dtype=np.int32), vocabulary, 7) for t, i in zip(texts, want, strict=True))
+    assert not pieces.lossless(b"hello", np.array(want[0], dtype=np.int32), vocabulary)
+    for values in ({"LONG": 10}, {"CHUNK": 50}, {"LONG": 3, "GIANT": 3, "WINDOW": 7}, {"CHUNK": 64, "LONG": 20, "GIANT": 40, "WINDOW": 16}):
+        with monkeypatch.context() as m:
+            for name, value in values.items():
+                m.setattr(pieces, name, value)
+            assert draw() == want
+
+
+def test_a_blob_takes_bounded_memory(vocabulary):
+    import tracemalloc
+
+    rng = random.Random(2)
+    blob = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(400_000))
+    tracemalloc.start()
+    ids = pieces.Encoder(vocabulary)([blob], np.zeros(1, dtype=np.uint64))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces.lossless(blob, ids, vocabulary) and peak < 200 * len(blob)
