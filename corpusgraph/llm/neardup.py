@@ -69,8 +69,21 @@ def first_common(n: int) -> int:
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Signed hashes of the text's distinct shingles in order; texts without words share one."""
-    some = [np.unique(np.array(c, dtype=np.uint64)) for c in hash_chunks(text, SHINGLE)]
-    return np.unique(np.concatenate(some).view(np.int64)) if some else np.zeros(1, dtype=np.int64)
+    return _distinct([np.array(c, dtype=np.uint64) for c in hash_chunks(text, SHINGLE)])
+
+
+def _distinct(chunks: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(c) for c in chunks] if len(chunks) > 1 else chunks).view(np.int64)) if chunks else np.zeros(1, dtype=np.int64)
+
+
+def set_and_print(text: str | None) -> tuple[np.ndarray, int]:
+    """The shingle set and the fingerprint of a text, whose shingles are hashed once."""
+    chunks, counts, n = [], 0, 0
+    for c in hash_chunks(text, SHINGLE):
+        hashes = np.array(c, dtype=np.uint64)
+        chunks.append(hashes if len(c) < 1 << 17 else np.unique(hashes))
+        counts, n = counts + simhash.bit_counts(hashes), n + len(c)
+    return _distinct(chunks), simhash.majority(counts, n)
 
 
 def ring_of(hashes: np.ndarray) -> np.ndarray:
@@ -91,9 +104,8 @@ def partnered(texts: DataFrame) -> DataFrame:
         def f(texts):
             shown, need, prints = [], [], []
             for s in texts:
-                s = s.as_py()
-                prints.append(simhash.fingerprint(s, SHINGLE))
-                x = shingle_set(s)
+                x, fp = set_and_print(s.as_py())
+                prints.append(fp)
                 shown.append(x[: first_shown(len(x))])
                 need.append(first_common(len(x)))
             return [_lists(shown), need, prints]
@@ -102,10 +114,10 @@ def partnered(texts: DataFrame) -> DataFrame:
 
     shown = map_text(texts, make, [("hs", "array<long>"), ("need", "int"), ("fp", "long")], text="text", keep=["node"])
     shown = cut(shown.groupBy("node").agg(F.first("hs").alias("hs"), F.first("need").alias("need"), F.first("fp").alias("fp")), "neardup-shown")
-    one = shown.select("node", "need", "fp", F.explode("hs").alias("h"))
-    shared = one.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    enough = one.join(shared, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("fp").alias("fp")).filter("n >= need")
-    return cut(enough.select("node", "fp"), "neardup-partnered")
+    one = shown.select("node", F.explode("hs").alias("h"))
+    shared = one.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    common = one.join(shared, "h", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return cut(common.join(shown.select("node", "need", "fp"), "node").filter("n >= need").select("node", "fp"), "neardup-partnered")
 
 
 def print_pairs(wanted: DataFrame) -> DataFrame:

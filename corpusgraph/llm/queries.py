@@ -135,4 +135,25 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
 """
-ORACLES: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op9_topk": OP9_SQL}
+# Words are compared by their exact runs; a window of an item is a list of words.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL
+), bw AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS n, list_slice(ws, i, i + least(13, len(ws)) - 1) AS w FROM b, unnest(range(1, greatest(2, len(ws) - 11))) AS t(i) WHERE len(ws) > 0
+), dw AS (
+  SELECT r, i, n, list_slice(ws, i, i + n - 1) AS w FROM d, (SELECT DISTINCT n FROM bw) l, unnest(range(1, CAST(len(ws) - n + 2 AS BIGINT))) AS t(i) WHERE len(ws) >= n
+), m AS (
+  SELECT dw.r, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.w = bw.w
+), h AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r
+), o AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)
+"""
+ORACLES: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_topk": OP9_SQL}

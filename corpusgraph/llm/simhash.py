@@ -72,8 +72,8 @@ def shingle_hashes(text: str | None, size: int) -> list[int]:
     return [x for some in hash_chunks(text, size) for x in some]
 
 
-def bit_counts(hashes: list[int]) -> np.ndarray:
-    return np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+def bit_counts(hashes) -> np.ndarray:
+    return np.unpackbits(np.asarray(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
 def majority(counts, n: int) -> int:

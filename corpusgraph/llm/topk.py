@@ -152,9 +152,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, *, id_col: str = "vec_id",
                 floors.append(best[-1][0] if len(best) == k else None)
             blocks[dim] = (qs, floors)
         done.append(cut(_pass(spark, usable, blocks, k), "topk"))
-    merged = done[0]
-    for d in done[1:]:
-        merged = merged.union(d)
+    # One scan of all passes' folders, however many there are.
+    merged = spark.read.schema(done[0].schema).parquet(*[d._cut_path for d in done])
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id", "copy")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -195,15 +195,21 @@ def test_mixed_disguises_compose(text, kind, span):
     assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.added_spans(text, base)]
 
 
-@pytest.mark.parametrize("junk", [" " * 10**6 + " dot ", "a" + " " * 10**6 + "dot b", "[ " * 300_000, " at" * 200_000, "1" + " " * 10**6 + "one", "x dot " * 20_000, "a at b dot com " * 20_000, "one " * 40_000])
-def test_time_is_linear(junk):
-    """A tenth of each text takes about a tenth of the time, and none of them long."""
+JUNK = {
+    "blanks before a sign": lambda n: " " * n + " dot ", "blanks between": lambda n: "a" + " " * n + "dot b", "brackets": lambda n: "[ " * (n // 3), "at signs": lambda n: " at" * (n // 5),
+    "blanks in a run": lambda n: "1" + " " * n + "one", "dots": lambda n: "x dot " * (n // 50), "addresses": lambda n: "a at b dot com " * (n // 50), "spelled": lambda n: "one " * (n // 25),
+}
+
+
+@pytest.mark.parametrize("kind", JUNK)
+def test_time_is_linear(kind):
+    """Eight times the text takes about eight times as long, where the square would take 64 times."""
     took = []
-    for text in (junk[: len(junk) // 8], junk):
+    for text in (JUNK[kind](125_000), JUNK[kind](1_000_000)):
         began = time.process_time()
         pii.added_spans(text, pii.base_spans(text))
         took.append(time.process_time() - began)
-    assert took[1] < 5 and took[1] < 30 * max(took[0], 0.05)
+    assert took[1] < 24 * max(took[0], 0.2)
 
 
 def test_pii_cases(odd):
