@@ -15,7 +15,7 @@ import tokenize
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,6 +61,16 @@ def is_test(path: str, name: str, lang: Language) -> bool:
     return any(m in path for m in lang.test_paths) or name.startswith(lang.test_names)
 
 
+def names_a_test(path, name, language: str) -> Column:
+    """As :func:`is_test`, as a column expression."""
+    lang, out = LANGUAGES[language], F.lit(False)
+    for m in lang.test_paths:
+        out = out | F.contains(path, F.lit(m))
+    for p in lang.test_names:
+        out = out | F.startswith(name, F.lit(p))
+    return out
+
+
 def python_tokens(body: str) -> list[str]:
     """Tokens without comments and layout, block structure kept as markers."""
     skipped = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.ENCODING, tokenize.ENDMARKER}

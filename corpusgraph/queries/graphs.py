@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import graph
@@ -47,14 +49,17 @@ def impact_tests_only(spark, d):
 @query("impact_recursive_cte", WALK_SQL + " SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY id")
 def impact_recursive_cte(spark, d):
     steps = graph.impact_edges(star_edges(spark, d)).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    name = "impact_steps"
-    steps.createOrReplaceTempView(name)
-    return spark.sql(
+    # The view is needed for analysis only; its name is this call's own.
+    name = f"impact_steps_{uuid.uuid4().hex}"
+    steps.createTempView(name)
+    walk = spark.sql(
         f"""WITH RECURSIVE walk(id, hops, path) AS (
           SELECT 'n3', 0, array('n3')
           UNION ALL SELECT b, hops + 1, array_append(path, b) FROM walk JOIN {name} ON a = id WHERE hops < 3 AND NOT array_contains(path, b)
         ) SELECT id, min(hops) AS hops FROM walk GROUP BY id"""
     )
+    spark.catalog.dropTempView(name)
+    return walk
 
 
 SPREAD_SQL = f"""

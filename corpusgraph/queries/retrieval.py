@@ -91,7 +91,15 @@ def embed_cache_split(spark, d):
     return hit.select("doc_id", F.lit(True).alias("hit")).unionByName(miss.select("doc_id", F.lit(False).alias("hit")))
 
 
-@query("embed_hash")
+EMBED_SQL = r"""
+WITH w AS (SELECT item_id, sha256(unnest(string_split_regex(trim(lower(text)), '\s+'))) AS x FROM benchmark WHERE trim(text) <> ''),
+s AS (SELECT item_id, CAST('0x' || substr(x, 1, 2) AS INTEGER) % 16 AS k, sum(CASE WHEN CAST('0x' || substr(x, 3, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2),
+n AS (SELECT item_id, sqrt(sum(v * v)) AS size FROM s GROUP BY 1)
+SELECT b.item_id, round(CAST(CAST(coalesce(s.v, 0) / CASE WHEN coalesce(n.size, 0) = 0 THEN 1 ELSE n.size END AS FLOAT) AS DOUBLE), 5) AS v1, 16 AS dim
+FROM benchmark b LEFT JOIN s ON s.item_id = b.item_id AND s.k = 0 LEFT JOIN n ON n.item_id = b.item_id"""
+
+
+@query("embed_hash", EMBED_SQL)
 def embed_hash(spark, d):
     return table(spark, d, "benchmark").select("item_id", vector.hash_embedder()(F.col("text")).alias("v")).select("item_id", F.round(F.element_at("v", 1).cast("double"), 5).alias("v1"), F.size("v").alias("dim"))
 

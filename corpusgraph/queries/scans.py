@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import gate, text
+from corpusgraph.operators import parse
 from corpusgraph.operators.lexical import query_tokens as split_query
 from corpusgraph.operators.parse import parse_imports, parse_symbols
 from corpusgraph.queries.registry import PATH_SQL, TOKENS_SQL, doc_files, query, table
@@ -105,9 +106,11 @@ def ext_lookup(spark, d):
     return doc_files(spark, d).select("doc_id", text.extension_language(F.concat(F.lit("a.b/"), F.col("source"), F.lit("."), suffix)).alias("language"))
 
 
-@query("test_detection", f"SELECT doc_id, ({PATH_SQL} LIKE '%src1%' OR starts_with(text, 'The') OR starts_with(text, 'Th')) AS is_test FROM documents")
+# Names are a text's beginning with "Th" read as "Test"; one source's paths lie in a folder of tests.
+@query("test_detection", f"SELECT doc_id, (source = 'src1' OR starts_with(text, 'Th') OR regexp_matches({PATH_SQL}, 'test_|_test\\.|/tests/|spec\\.') OR starts_with(text, 'Test') OR starts_with(text, 'test_')) AS is_test FROM documents")
 def test_detection(spark, d):
-    return doc_files(spark, d).select("doc_id", (F.contains("path", F.lit("src1")) | F.col("content").startswith("The") | F.col("content").startswith("Th")).alias("is_test"))
+    path = F.when(F.col("source") == "src1", F.concat(F.lit("a/tests/"), "path")).otherwise(F.col("path"))
+    return doc_files(spark, d).select("doc_id", parse.names_a_test(path, F.regexp_replace("content", "^Th", "Test"), "python").alias("is_test"))
 
 
 # The gate over documents whose paths are made to look like credentials for one source.

@@ -17,7 +17,7 @@ from corpusgraph.plans.lineage import written
 from corpusgraph.plans.search import hybrid
 from corpusgraph.plans.store import Store
 from corpusgraph.schema import EDGE_WEIGHTS, EXACT_LIMIT, LEXICAL_LIMIT, MEMORY, PREVIEW_CHARS
-from corpusgraph.sources.config import FOLDER, index_options, scaffold
+from corpusgraph.sources.config import FOLDER, evaluation_cases, index_options, recall_at, scaffold
 from corpusgraph.sources.files import confined, contents, decoded, repository_files, text_only
 from corpusgraph.sources.history import changed_ranges, history_marker
 from corpusgraph.streaming.watch import watch
@@ -368,6 +368,16 @@ class Project:
         items = [{**shown[h["id"]], "provenance": {"source": "reverse-dependencies", "path": list(h["path"])}} for h in hits if h["id"] in shown and (not tests_only or rows[h["id"]]["kind"] == "test")]
         return ranking.pack(items, budget, mode="impact", warnings=["Calls are linked by name; this is not a complete dependency analysis."])
 
+    def evaluate(self, path: str, *, k: int = 5, budget: int = 16_000) -> dict:
+        """Mean recall among the first k results and median latency over a file of cases."""
+        rows = []
+        for case in evaluation_cases(self.spark, path).collect():
+            began = time.perf_counter()
+            found = [i["location"] for i in self.search(case["query"], budget=budget)["items"]]
+            rows.append((case["query"], found, 1000 * (time.perf_counter() - began)))
+        found = self.spark.createDataFrame(rows, "query string, found array<string>, latency_ms double")
+        return recall_at(evaluation_cases(self.spark, path), found, k).first().asDict()
+
     def why(self, topic: str, **options) -> dict:
         return self.search(topic, kind="memory", **options)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +99,3 @@ def recall_at(cases: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
     """Mean recall of the expected results among the first k."""
     both = cases.join(found, "query")
     return both.agg(F.avg(F.size(F.array_intersect("expected", F.slice("found", 1, k))) / F.greatest(F.lit(1), F.size("expected"))).alias("recall"), F.median("latency_ms").alias("median_ms"))
-
-
-def compact_json(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))

@@ -62,6 +62,13 @@ def test_search_puts_the_exact_hit_first(project):
         p.search("")
 
 
+def test_evaluation(project, tmp_path):
+    p, _ = project
+    (tmp_path / "cases.json").write_text('{"cases": [{"query": "verify_token", "expected": ["src/auth.py::verify_token"]}, {"query": "load_key", "expected": ["src/auth.py::load_key", "nowhere.py::x"]}]}')
+    out = p.evaluate(str(tmp_path / "cases.json"))
+    assert out["recall"] == 0.75 and out["median_ms"] > 0
+
+
 def test_walks(project):
     p, _ = project
     hit = {i["location"] for i in p.impact("load_key", depth=3)["items"]}
