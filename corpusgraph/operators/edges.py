@@ -18,7 +18,8 @@ def calls(call_sites: DataFrame, definitions: DataFrame, most: int = MAX_FANOUT)
     The fan-out is counted before the join, so frequent names never reach it, and call sites meet
     the names that are left before they are told apart: the aggregate behind the join does that.
     """
-    names = definitions.select("name", "id").distinct()
+    # Nulls go here, so that both uses of the names are one subplan, whose exchange is reused.
+    names = definitions.select("name", "id").filter("name is not null and id is not null").distinct()
     fan = names.groupBy("name").agg(F.count(F.lit(1)).alias("fan")).filter(F.col("fan") <= most)
     targets = names.join(fan, "name")
     weight = F.when(F.col("fan") > 1, AMBIGUOUS_CALL_WEIGHT).otherwise(EDGE_WEIGHTS["calls"])

@@ -46,8 +46,12 @@ def reach(steps: DataFrame, start: str, depth: int, limit: int | None = IMPACT_L
     return out.orderBy("hops", "id").limit(limit) if limit else out
 
 
-def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.6, floor: float = 0.001, limit: int = SPREAD_LIMIT) -> DataFrame:
-    """(id, score): best product of seed score, weights and decay over at most ``hops`` edges."""
+def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.6, floor: float = 0.001, limit: int = SPREAD_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
+    """(id, score): best product of seed score, weights and decay over at most ``hops`` edges.
+
+    With ``allowed`` (distinct ids) no path leads through others; the few nodes that a hop reaches
+    are looked up there, not the ends of all edges.
+    """
     if not 0 <= hops <= 4:
         raise ValueError("hops must be between 0 and 4")
     live = edges.filter(F.col("kind").isin(*SPREAD_EDGES))
@@ -60,7 +64,8 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.6
             top = best.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score")).limit(limit).agg(F.count(F.lit(1)), F.min("score")).first()
             frontier = frontier.filter(F.col("score") >= top[1]) if top[0] == limit else frontier
         step = frontier.join(both, frontier["id"] == both["src"]).select(F.col("dst").alias("id"), (F.col("score") * F.col("weight") * decay).alias("score"))
-        frontier = written(step.filter(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score")), "spread")
+        reached = step.filter(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score"))
+        frontier = written(reached if allowed is None else reached.join(allowed.select("id"), "id"), "spread")
         best = best.unionByName(frontier)
     return best.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 

@@ -27,7 +27,9 @@ def indexed(spark: SparkSession, path: str, id_col: str, text_cols: tuple[str, .
     key = (spark.sparkContext.applicationId, path, id_col, text_cols, signature(spark, path))
     if key not in _MADE:
         # Texts are tokenised once; the rows' lengths come from the same pass.
-        made = written(lexical.laid_out(lexical.inverted(spark.read.parquet(path), id_col, list(text_cols))), "postings")
+        plain = written(lexical.inverted(spark.read.parquet(path), id_col, list(text_cols)), "postings-plain")
+        # Ranges are found by a pass of their own, which reads what is written.
+        made = written(lexical.laid_out(plain), "postings")
         empty = spark.read.parquet(path).select(F.col(id_col).alias("id"))
         sizes = made.select("id", "n_tokens").distinct()
         _MADE[key] = made, written(empty.join(sizes, "id", "left").select("id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), "lengths")

@@ -24,7 +24,7 @@ def hybrid(seeds: list[DataFrame], edges: DataFrame, nodes: DataFrame, as_of, *,
     ranked = written(ranked.join(ok, "id", "left_semi"), "seeds")
     first = fuse(ranked)
     start = first.orderBy(F.desc("score"), "id").limit(SEEDS).select("id", "score")
-    reached = written(spread(edges.join(ok.withColumnRenamed("id", "src"), "src", "left_semi").join(ok.withColumnRenamed("id", "dst"), "dst", "left_semi"), start, hops), "reached")
+    reached = written(spread(edges, start, hops, allowed=ok), "reached")
     structural = ranks(reached).select(F.lit("structural").alias("source"), "id", "rank")
     total = fuse(ranked.select("source", "id", "rank").unionByName(structural))
     joined = total.join(nodes.select("id", "updated_at", "pinned", "state"), "id")

@@ -24,6 +24,8 @@ from corpusgraph.streaming.watch import watch
 
 NODES = "id string, kind string, name string, qualname string, path string, label string, preview string, body string, span_hash string, body_hash string, start_line int, end_line int, calls array<string>, updated_at double"
 POLICY = "gate-1"
+#: Paths or problems that a report lists; counts beside them are of all.
+SHOWN = 200
 
 
 class AmbiguousError(ValueError):
@@ -125,7 +127,7 @@ class Project:
                 statements = statements.unionByName(self.store.read("imports").join(same.withColumnRenamed("path", "src_path"), "src_path", "left_semi").select(*STATEMENTS.names))
                 index = index.unionByName(self.store.read("postings").join(kept.select("id"), "id", "left_semi").select(*index.columns))
             nodes, statements = written(nodes, "nodes"), written(statements, "imports")
-            index = written(lexical.laid_out(index), "postings")
+            index = written(lexical.laid_out(written(index, "postings-plain")), "postings")
             tables = {"files": files.drop("content"), "nodes": nodes, "imports": statements, "edges": self._edges(nodes, statements), "postings": index.sortWithinPartitions("token", "id"), "lengths": index.select("id", "n_tokens").distinct()}
             log = self.store.read("memories")
             if log is not None:
@@ -396,7 +398,8 @@ class Project:
     def status(self) -> dict:
         nodes, links = self._table("nodes"), self._table("edges")
         kinds = {r[0]: r[1] for r in nodes.groupBy("kind").count().collect()}
-        return {"kinds": kinds, "edges": {r[0]: r[1] for r in links.groupBy("kind").count().collect()}, "gated": sorted(r[0] for r in nodes.filter((F.col("label") == gate.SECRET) & (F.col("kind") == "file")).select("path").collect()), "meta": self.store.state["meta"]}
+        gated = nodes.filter((F.col("label") == gate.SECRET) & (F.col("kind") == "file")).select("path")
+        return {"kinds": kinds, "edges": {r[0]: r[1] for r in links.groupBy("kind").count().collect()}, "n_gated": gated.count(), "gated": [r[0] for r in gated.orderBy("path").limit(SHOWN).collect()], "meta": self.store.state["meta"]}
 
     def verify(self) -> dict:
         """How many anchored nodes and memories still match the files as they are now."""
@@ -411,7 +414,7 @@ class Project:
             held = held.unionByName(found.filter("path is not null").select("id", "path", "symbol", "span_hash", "moved_from", "state"))
         states = written(drift.live_state(held, current), "states")
         rate = drift.drift_rate(states).first().asDict()
-        problems = [{"id": r["id"], "location": r["path"]} for r in states.filter("live <> 'fresh'").select("id", "path").orderBy("path", "id").limit(200).collect()]
+        problems = [{"id": r["id"], "location": r["path"]} for r in states.filter("live <> 'fresh'").select("id", "path").orderBy("path", "id").limit(SHOWN).collect()]
         return {**rate, "problems": problems}
 
     # -- memory -----------------------------------------------------------------------
