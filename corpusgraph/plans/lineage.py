@@ -16,3 +16,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{folder}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` kept by the driver; for results behind a top-k, of which there are ``limit`` at most."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; put a limit before them")
+    return df.sparkSession.createDataFrame(rows, df.schema)

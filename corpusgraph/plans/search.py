@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusgraph.operators.graph import spread
 from corpusgraph.operators.ranking import fuse, multiplied, ranks, recency
-from corpusgraph.plans.lineage import written
-from corpusgraph.schema import SEEDS
+from corpusgraph.plans.lineage import held
+from corpusgraph.schema import EXACT_LIMIT, LEXICAL_LIMIT, SEEDS, SEMANTIC_LIMIT, SPREAD_LIMIT
+
+#: More rows than the sources of seeds give together.
+SEED_ROWS = 4 * (EXACT_LIMIT + LEXICAL_LIMIT + SEMANTIC_LIMIT)
 
 
 def hybrid(seeds: list[DataFrame], edges: DataFrame, nodes: DataFrame, as_of, *, hops: int = 2) -> DataFrame:
@@ -21,10 +24,11 @@ def hybrid(seeds: list[DataFrame], edges: DataFrame, nodes: DataFrame, as_of, *,
     for s in seeds[1:]:
         ranked = ranked.unionByName(s)
     ok = nodes.filter("allowed").select("id")
-    ranked = written(ranked.join(ok, "id", "left_semi"), "seeds")
+    # Seeds and what a spread reaches are a few hundred rows behind their limits.
+    ranked = held(ranked.join(ok, "id", "left_semi"), SEED_ROWS)
     first = fuse(ranked)
     start = first.orderBy(F.desc("score"), "id").limit(SEEDS).select("id", "score")
-    reached = written(spread(edges, start, hops, allowed=ok), "reached")
+    reached = held(spread(edges, start, hops, allowed=ok), SPREAD_LIMIT)
     structural = ranks(reached).select(F.lit("structural").alias("source"), "id", "rank")
     total = fuse(ranked.select("source", "id", "rank").unionByName(structural))
     joined = total.join(nodes.select("id", "updated_at", "pinned", "state"), "id")
