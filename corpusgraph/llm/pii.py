@@ -69,6 +69,7 @@ def any_run(sep: str) -> str:
 # At and dot signs; blanks around them are taken in by hand, so that a run of blanks is read twice
 # at most however many signs could begin there.
 AT_SIGN = re.compile(r"[\[({<][ \t]*+(?:at|@)[ \t]*+[\])}>]|(?<=[ \t])at(?=[ \t])", re.IGNORECASE)
+BRACKETED = re.compile(r"[\[({<][ \t]*+(?:at|@|dot|punkt|punto|point|\.)[ \t]*+[\])}>]")
 DOT_SIGN = re.compile(r"[\[({<][ \t]*+(?:dot|punkt|punto|point|\.)[ \t]*+[\])}>]|(?<=[ \t])dot(?=[ \t])", re.IGNORECASE)
 BLANKS = re.compile(r"[ \t]*")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,5}")
@@ -82,7 +83,7 @@ TOKEN = re.compile(rf"plus|{WORD}|[0-9]+", re.IGNORECASE)
 LOOK_ANY, LOOK_TABLE = re.compile(LOOK), str.maketrans(LOOKALIKES)
 # A digit word can only be part of an identifier if another digit is next to it. Every separator
 # of a run is of these characters, and " dot " and bracketed dots are looked for on their own.
-SPELLED_ANY = re.compile(rf"{WORD}[\W_]++(?:{WORD}|[0-9])|[0-9][\W_]++{WORD}")
+SPELLED_NEXT, DIGIT_NEXT = re.compile(rf"{WORD}[\W_]++(?:{WORD}|[0-9])"), re.compile(rf"[0-9][\W_]++{WORD}")
 
 
 def disguised(text: str) -> bool:
@@ -90,9 +91,10 @@ def disguised(text: str) -> bool:
     if not text.isascii() and LOOK_ANY.search(text):
         return True
     low = text.lower()
-    if DOT_SIGN.search(low) or AT_SIGN.search(low):
+    # A bare " at " counts only before a disguised dot, which opens the gate itself.
+    if BRACKETED.search(low) or ("dot" in low and DOT_SIGN.search(low)):
         return True
-    return bool(SPELLED_ANY.search(low))
+    return bool(SPELLED_NEXT.search(low) or DIGIT_NEXT.search(low))
 
 
 def luhn(digits: str) -> bool:
